@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,8 +23,19 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(or_, conditions, F.lit(False))
+def sql_text(value: str) -> str:
+    """Spark SQL string literal.  Lists of rules become one SQL expression: building
+    them from Column calls costs several gateway round trips per rule."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_list(values: Sequence[str]) -> str:
+    return ", ".join(sql_text(v) for v in values)
+
+
+def _any_sql(function: str, column: str, values: Sequence[str]) -> Column:
+    tests = [f"{function}({column}, {sql_text(v)})" for v in packs.checked(values)]
+    return F.expr("(" + " OR ".join(tests or ["false"]) + ")")
 
 
 def strip_ws(c: Column | str) -> Column:
@@ -65,16 +75,16 @@ def event_type_name(code: Column | str) -> Column:
     return names.otherwise("UNKNOWN")
 
 
-def starts_with_any(c: Column | str, prefixes: Sequence[str]) -> Column:
-    return any_of([_col(c).startswith(p) for p in packs.checked(prefixes)])
+def starts_with_any(column: str, prefixes: Sequence[str]) -> Column:
+    return _any_sql("startswith", column, prefixes)
 
 
-def contains_any(c: Column | str, needles: Sequence[str]) -> Column:
-    return any_of([_col(c).contains(n) for n in packs.checked(needles)])
+def contains_any(column: str, needles: Sequence[str]) -> Column:
+    return _any_sql("contains", column, needles)
 
 
-def is_safe_path(c: Column | str, prefixes: Sequence[str] = packs.SAFE_PREFIXES) -> Column:
-    return starts_with_any(c, prefixes)
+def is_safe_path(column: str, prefixes: Sequence[str] = packs.SAFE_PREFIXES) -> Column:
+    return starts_with_any(column, prefixes)
 
 
 def is_nonstandard_process(c: Column | str, expected: Sequence[str] = packs.EXPECTED_PROCESSES) -> Column:
@@ -117,7 +127,7 @@ def container_id(line: Column | str) -> Column:
     )
 
 
-def in_container(line: Column | str) -> Column:
+def in_container(line: str) -> Column:
     return contains_any(line, ("docker", "containerd"))
 
 

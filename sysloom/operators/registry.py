@@ -8,7 +8,6 @@ are row-local; nothing is shuffled except the optional large-list typosquat join
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,14 +66,13 @@ def single_maintainer(registry: DataFrame) -> DataFrame:
 def nearest_popular(name: Column, popular: Sequence[str]) -> Column:
     """(distance, target) of the nearest popular name within two edits, or NULL.
     The length band keeps most pairs away from the edit distance."""
-    lowered = F.lower(name)
-    best = []
-    for p in packs.checked(popular):
-        distance = F.levenshtein(lowered, F.lit(p.lower()), MAX_DISTANCE)
-        near = F.abs(F.length(name) - len(p)) <= MAX_DISTANCE
-        best.append(F.when(near & (distance > 0), F.struct(distance.alias("distance"), F.lit(p).alias("target"))))
-    nearest = best[0] if len(best) == 1 else F.least(*best)
-    return F.when(~name.isin(*popular), nearest)
+    names = F.expr(f"array({fx.sql_list(packs.checked(popular))})")
+    near = F.filter(names, lambda p: F.abs(F.length(name) - F.length(p)) <= MAX_DISTANCE)
+    scored = F.transform(near, lambda p: F.struct(
+        F.levenshtein(F.lower(name), F.lower(p), MAX_DISTANCE).alias("distance"), p.alias("target")))
+    # a distance of -1 means more than two edits, 0 the same name in another case
+    best = F.array_min(F.filter(scored, lambda s: s["distance"] > 0))
+    return F.when(~F.array_contains(names, name), best)
 
 
 def deletion_variants(name: Column) -> Column:
@@ -106,7 +104,10 @@ def typosquat_candidates(registry: DataFrame, popular: Sequence[str] = packs.POP
     """Packages within two edits of a popular name, with the nearest one
     (ties: alphabetical).  Members of the list itself are never flagged."""
     if len(popular) <= INLINE_NAMES:
-        found = usable(registry).withColumn("nearest", nearest_popular(F.col("package_name"), popular))
+        # generated rows are filtered after the fact: a filter on the column itself
+        # would be pushed down and the distances computed twice
+        near = nearest_popular(F.col("package_name"), popular)
+        found = usable(registry).select("registry_key", "package_name", F.explode_outer(F.array(near)).alias("nearest"))
         found = found.filter(F.col("nearest").isNotNull())
     else:
         found = _nearest_by_join(usable(registry), popular)
@@ -137,7 +138,7 @@ def metadata_findings(registry: DataFrame, as_of: Column, popular: Sequence[str]
     One pass: each row builds its (at most five) findings as an array.
     """
     ok, name = F.col("status") == "ok", F.col("package_name")
-    age, nearest = age_days(as_of), nearest_popular(name, popular)
+    age, nearest = age_days(as_of), F.col("nearest")
 
     def signal(ordinal: int, severity: Column, description: Column, evidence: Column) -> Column:
         return F.when(severity.isNotNull(), F.struct(
@@ -158,6 +159,7 @@ def metadata_findings(registry: DataFrame, as_of: Column, popular: Sequence[str]
                text("Package name '", name, "' is close to '", nearest["target"], "'"),
                text("Levenshtein distance: ", nearest["distance"])),
     )
+    registry = registry.withColumn("nearest", F.when(ok, nearest_popular(name, popular)))
     rows = registry.select("registry_key", "package_name", F.explode_outer(signals).alias("s")).filter(F.col("s").isNotNull())
     return rows.select("registry_key", "package_name", "s.*", F.lit("suspicious_activity").alias("category"),
                        F.lit(MITRE).alias("mitre_id"), F.lit(packs.MITRE_NAMES[MITRE]).alias("mitre_name"))

@@ -80,7 +80,7 @@ def run_forensics(events: DataFrame, runs: DataFrame) -> DataFrame:
     is_open = F.col("event_type") == "OPENAT"
     counted = events.groupBy("detonation_id").agg(
         F.count("*").alias("events_analyzed"),
-        *[F.count_if(F.col("event_type") == t).alias(n) for n, t in rules.TYPE_COUNTS.items()],
+        *rules.type_counts(),
         F.count_if(is_open & fx.contains_any("filename", packs.SENSITIVE_PATHS)).alias("suspicious_files"),
         F.count_if((F.col("event_type") == "UNLINK") & (F.col("filename") != "")).alias("deletions_listed"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)

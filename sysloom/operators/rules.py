@@ -20,7 +20,6 @@ the matched events alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,61 +31,68 @@ RUN = ("detonation_id",)
 HIT_TYPES = ("EXECVE", "OPENAT", "CONNECT", "UNLINK")
 # detection phases: events in arrival order, then the burst, then connections
 PHASE_EVENT, PHASE_BURST, PHASE_CONNECTION = 0, 1, 2
+# fixed values: evidence formats
+EVIDENCE_SQL = """CASE kind
+    WHEN 'exec' THEN concat('execve: ', proc, ' → ', path, ' (PID=', pid, ')')
+    WHEN 'file' THEN concat('openat: ', process_name, ' → ', path, ' (PID=', pid, ')')
+    WHEN 'unlink' THEN concat('unlinkat: ', process_name, ' deleted ', path, ' (PID=', pid, ')')
+    ELSE concat('connect: → ', key) END"""
 
 
-def _hit(kind: str, key: Column | str) -> Column:
-    key = F.lit(key) if isinstance(key, str) else key
-    return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+def _hit(kind: str, key_sql: str) -> str:
+    return f"struct('{kind}' AS kind, {key_sql} AS key)"
 
 
-def exec_hits(pack: Sequence[packs.EventRule] = packs.EXEC_RULES) -> Column:
+def exec_hits_sql(pack: Sequence[packs.EventRule] = packs.EXEC_RULES) -> str:
     """Rule names equal to the base name of the file or to the process name."""
-    names = [r.pattern for r in packs.checked(pack)]
-    base, proc = fx.basename(fx.strip_ws("filename")), fx.strip_ws("process_name")
-    return F.array(
-        F.when(base.isin(*names), _hit("exec", base)),
-        F.when(proc.isin(*names) & (proc != base), _hit("exec", proc)),
-    )
+    names = fx.sql_list([r.pattern for r in packs.checked(pack)])
+    base = "substring_index(path, '/', -1)"
+    return (f"array(CASE WHEN {base} IN ({names}) THEN {_hit('exec', base)} END, "
+            f"CASE WHEN proc IN ({names}) AND proc <> {base} THEN {_hit('exec', 'proc')} END)")
 
 
-def _file_rule_fires(rule: packs.EventRule, path: Column, proc: Column) -> Column:
-    fires = path.contains(rule.pattern)
-    exempt = []
+def _file_rule_sql(rule: packs.EventRule) -> str:
+    fires = f"contains(path, {fx.sql_text(rule.pattern)})"
     if rule.exempt_names:
-        exempt.append(proc.isin(*rule.exempt_names))
-    if rule.exempt_prefixes:
-        exempt.append(fx.starts_with_any(proc, rule.exempt_prefixes))
-    return fires & ~fx.any_of(exempt) if exempt else fires
+        fires += f" AND proc NOT IN ({fx.sql_list(rule.exempt_names)})"
+    for prefix in rule.exempt_prefixes:
+        fires += f" AND NOT startswith(proc, {fx.sql_text(prefix)})"
+    return f"CASE WHEN {fires} THEN {_hit('file', fx.sql_text(rule.pattern))} END"
 
 
-def file_hits(pack: Sequence[packs.EventRule] = packs.FILE_RULES,
-              safe_prefixes: Sequence[str] = packs.SAFE_PREFIXES) -> Column:
+def file_hits_sql(pack: Sequence[packs.EventRule] = packs.FILE_RULES,
+                  safe_prefixes: Sequence[str] = packs.SAFE_PREFIXES) -> str:
     """Rules whose pattern occurs in the opened path, outside the safe prefixes."""
-    path, proc = fx.strip_ws("filename"), fx.strip_ws("process_name")
-    slots = F.array(*[F.when(_file_rule_fires(r, path, proc), _hit("file", r.pattern)) for r in packs.checked(pack)])
-    worth_it = ~fx.is_safe_path(path, safe_prefixes) & fx.contains_any(path, [r.pattern for r in pack])
-    return F.when(worth_it, slots)
+    safe = " OR ".join(f"startswith(path, {fx.sql_text(p)})" for p in safe_prefixes) or "false"
+    some = " OR ".join(f"contains(path, {fx.sql_text(r.pattern)})" for r in packs.checked(pack)) or "false"
+    slots = ", ".join(_file_rule_sql(r) for r in pack)
+    return f"CASE WHEN NOT ({safe}) AND ({some}) THEN array({slots}) END"
 
 
 def event_hits(exec_pack=packs.EXEC_RULES, file_pack=packs.FILE_RULES) -> Column:
-    """All (kind, key) hits of one event as an array with NULL slots."""
-    path = fx.strip_ws("filename")
+    """All (kind, key) hits of one prepared event as an array with NULL slots."""
+    external = fx.is_external("connect_ip") & ~fx.is_known_cdn("connect_ip")
     connection = F.concat(fx.ipv4("connect_ip"), F.lit(":"), F.col("connect_port").cast("string"))
+    kind = F.col("event_type")
     return (
-        F.when(F.col("event_type") == "EXECVE", exec_hits(exec_pack))
-        .when(F.col("event_type") == "OPENAT", file_hits(file_pack))
-        .when((F.col("event_type") == "UNLINK") & (path != ""), F.array(_hit("unlink", path)))
-        .when((F.col("event_type") == "CONNECT") & fx.is_external("connect_ip") & ~fx.is_known_cdn("connect_ip"),
-              F.array(_hit("connect", connection)))
+        F.when(kind == "EXECVE", F.expr(exec_hits_sql(exec_pack)))
+        .when(kind == "OPENAT", F.expr(file_hits_sql(file_pack)))
+        .when((kind == "UNLINK") & (F.col("path") != ""), F.expr(f"array({_hit('unlink', 'path')})"))
+        .when((kind == "CONNECT") & external, F.array(F.struct(F.lit("connect").alias("kind"), connection.alias("key"))))
     )
 
 
+def prepare(events: DataFrame) -> DataFrame:
+    """Add the stripped file (``path``) and process (``proc``) names."""
+    return events.withColumns({"path": fx.strip_ws("filename"), "proc": fx.strip_ws("process_name")})
+
+
 def hit_events(events: DataFrame, keys: Sequence[str] = RUN,
                exec_pack=packs.EXEC_RULES, file_pack=packs.FILE_RULES) -> DataFrame:
     """One row per (event, fired rule)."""
-    kept = [*keys, "seq", "pid", "process_name", "filename", "connect_ip", "connect_port"]
+    kept = [*keys, "seq", "pid", "process_name", "path", "proc", "connect_ip", "connect_port"]
     return (
-        events.filter(F.col("event_type").isin(*HIT_TYPES))
+        prepare(events.filter(F.col("event_type").isin(*HIT_TYPES)))
         .select(*kept, F.explode_outer(event_hits(exec_pack, file_pack)).alias("hit"))
         .filter(F.col("hit").isNotNull())
         .select(*kept, "hit.kind", "hit.key")
@@ -95,21 +101,23 @@ def hit_events(events: DataFrame, keys: Sequence[str] = RUN,
 
 def match_exec_rules(events: DataFrame, pack=packs.EXEC_RULES) -> DataFrame:
     """Every (event, exec rule) pair that fires."""
-    execs = events.filter(F.col("event_type") == "EXECVE")
-    rows = execs.select("detonation_id", "seq", F.explode(exec_hits(pack)).alias("hit"))
-    return rows.filter(F.col("hit").isNotNull()).select("detonation_id", "seq", F.col("hit.key").alias("pattern"))
+    return _matches(events, "EXECVE", exec_hits_sql(pack))
 
 
 def match_file_rules(events: DataFrame, pack=packs.FILE_RULES) -> DataFrame:
     """Every (event, file rule) pair that fires."""
-    opens = events.filter(F.col("event_type") == "OPENAT")
-    rows = opens.select("detonation_id", "seq", F.explode_outer(file_hits(pack)).alias("hit"))
+    return _matches(events, "OPENAT", file_hits_sql(pack))
+
+
+def _matches(events: DataFrame, event_type: str, hits_sql: str) -> DataFrame:
+    rows = prepare(events.filter(F.col("event_type") == event_type)).select(
+        "detonation_id", "seq", F.explode_outer(F.expr(hits_sql)).alias("hit"))
     return rows.filter(F.col("hit").isNotNull()).select("detonation_id", "seq", F.col("hit.key").alias("pattern"))
 
 
 def first_hits(events: DataFrame, keys: Sequence[str] = RUN, **pack) -> DataFrame:
     """De-duplicated hits: per (run, kind, key) the first event in arrival order."""
-    first = F.struct("seq", "pid", "process_name", "filename", "connect_ip", "connect_port")
+    first = F.struct("seq", "pid", "process_name", "path", "proc", "connect_ip", "connect_port")
     return (
         hit_events(events, keys, **pack)
         .groupBy(*keys, "kind", "key").agg(F.min_by(first, "seq").alias("first"))
@@ -153,33 +161,23 @@ def findings(events: DataFrame, keys: Sequence[str] = RUN,
     in which the report lists them."""
     hits = first_hits(events, keys, exec_pack=exec_pack, file_pack=file_pack)
     rules = _rule_table(events.sparkSession, exec_pack, file_pack).withColumnRenamed("pattern", "key")
-    path, proc = fx.strip_ws("filename"), fx.strip_ws("process_name")
-    by_pid = F.concat(F.lit(" (PID="), F.col("pid").cast("string"), F.lit(")"))
-    evidence = (
-        F.when(F.col("kind") == "exec", F.concat(F.lit("execve: "), proc, F.lit(" → "), path, by_pid))
-        .when(F.col("kind") == "file", F.concat(F.lit("openat: "), F.col("process_name"), F.lit(" → "), path, by_pid))
-        .when(F.col("kind") == "unlink", F.concat(F.lit("unlinkat: "), F.col("process_name"), F.lit(" deleted "), path, by_pid))
-        .otherwise(F.concat(F.lit("connect: → "), F.col("key")))
-    )
-    is_unlink, is_connect = F.col("kind") == "unlink", F.col("kind") == "connect"
 
-    def pick(rule_value: str, unlink, connect) -> Column:
-        return F.when(is_unlink, unlink).when(is_connect, connect).otherwise(F.col(rule_value))
+    def pick(rule_value: str, unlink: str, connect: str) -> Column:
+        return F.expr(f"CASE kind WHEN 'unlink' THEN {unlink} WHEN 'connect' THEN {connect} ELSE {rule_value} END")
 
     name = lambda mitre: F.lit(packs.MITRE_NAMES[mitre])
     event_findings = hits.join(rules, ["kind", "key"], "left").select(
         *keys, "kind", "key",
-        F.when(is_connect, PHASE_CONNECTION).otherwise(PHASE_EVENT).alias("phase"),
-        F.when(is_connect, F.col("connect_ip")).otherwise(F.col("seq")).alias("order_key"),
-        pick("ordinal", F.lit(0), F.col("connect_port")).cast("long").alias("ordinal"),
-        pick("points", packs.UNLINK_POINTS, packs.CONNECTION_POINTS).cast("long").alias("points"),
-        pick("severity", "HIGH", "HIGH").alias("severity"),
-        pick("category", "anti_forensics", "network").alias("category"),
-        pick("rule_text", F.concat(F.lit("Deleted file: "), path),
-             F.concat(F.lit("Outbound connection to "), F.col("key"))).alias("description"),
-        evidence.alias("evidence"),
-        pick("mitre_id", "T1070.004", "T1071.001").alias("mitre_id"),
-        pick("mitre_name", name("T1070.004"), name("T1071.001")).alias("mitre_name"),
+        F.expr(f"CASE kind WHEN 'connect' THEN {PHASE_CONNECTION} ELSE {PHASE_EVENT} END").alias("phase"),
+        F.expr("CASE kind WHEN 'connect' THEN connect_ip ELSE seq END").alias("order_key"),
+        pick("ordinal", "0", "connect_port").cast("long").alias("ordinal"),
+        pick("points", str(packs.UNLINK_POINTS), str(packs.CONNECTION_POINTS)).cast("long").alias("points"),
+        pick("severity", "'HIGH'", "'HIGH'").alias("severity"),
+        pick("category", "'anti_forensics'", "'network'").alias("category"),
+        pick("rule_text", "concat('Deleted file: ', path)", "concat('Outbound connection to ', key)").alias("description"),
+        F.expr(EVIDENCE_SQL).alias("evidence"),
+        pick("mitre_id", "'T1070.004'", "'T1071.001'").alias("mitre_id"),
+        pick("mitre_name", *[fx.sql_text(packs.MITRE_NAMES[m]) for m in ("T1070.004", "T1071.001")]).alias("mitre_name"),
     )
     bursts = exec_burst(events, keys).select(
         *keys, F.lit("burst").alias("kind"), F.lit("burst").alias("key"), F.lit(PHASE_BURST).alias("phase"),
@@ -193,10 +191,6 @@ def findings(events: DataFrame, keys: Sequence[str] = RUN,
     return event_findings.unionByName(bursts).withColumn("severity_rank", fx.severity_rank("severity"))
 
 
-def _type_count(kind: str, name: str) -> Column:
-    return F.count_if((F.col("kind") == "run") & (F.col("event_type") == kind)).alias(name)
-
-
 TYPE_COUNTS = {
     "execve_count": "EXECVE", "openat_count": "OPENAT", "connect_count": "CONNECT",
     "write_count": "WRITE", "unlink_count": "UNLINK",
@@ -207,17 +201,21 @@ def event_type_counts(events: DataFrame, keys: Sequence[str] = RUN) -> DataFrame
     """Events per run, in total and for the five known types."""
     return events.groupBy(*keys).agg(
         F.count("*").alias("events_analyzed"),
-        *[F.count_if(F.col("event_type") == t).alias(n) for n, t in TYPE_COUNTS.items()])
+        *type_counts())
+
+
+def type_counts(condition: str = "true") -> list[Column]:
+    return [F.expr(f"count_if({condition} AND event_type = '{t}') AS {n}") for n, t in TYPE_COUNTS.items()]
 
 
-def _points(exec_pack, file_pack) -> Column:
+def _points_sql(exec_pack, file_pack) -> str:
     """Points of a (kind, key) pair as an expression over the packs."""
     def lookup(pack):
-        return reduce(lambda acc, r: acc.when(F.col("key") == r.pattern, r.points), pack, F).otherwise(0)
+        rows = ", ".join(f"{fx.sql_text(r.pattern)}, {int(r.points)}" for r in packs.checked(pack))
+        return f"coalesce(try_element_at(map({rows}), key), 0)" if rows else "0"
 
-    return (F.when(F.col("kind") == "exec", lookup(exec_pack)).when(F.col("kind") == "file", lookup(file_pack))
-            .when(F.col("kind") == "unlink", packs.UNLINK_POINTS)
-            .when(F.col("kind") == "connect", packs.CONNECTION_POINTS).otherwise(0))
+    return (f"CASE kind WHEN 'exec' THEN {lookup(exec_pack)} WHEN 'file' THEN {lookup(file_pack)} "
+            f"WHEN 'unlink' THEN {packs.UNLINK_POINTS} WHEN 'connect' THEN {packs.CONNECTION_POINTS} ELSE 0 END")
 
 
 def verdicts(events: DataFrame, keys: Sequence[str] = RUN,
@@ -227,22 +225,22 @@ def verdicts(events: DataFrame, keys: Sequence[str] = RUN,
     Each event yields a ``run`` row that carries the counts (its key is the
     package name) and one row per fired rule.
     """
-    base = F.array(_hit("run", F.col("package_name")))
-    slots = F.concat(base, F.coalesce(event_hits(exec_pack, file_pack), F.array().cast(
-        "array<struct<kind:string,key:string>>")))
+    base = F.expr(f"array({_hit('run', 'package_name')})")
+    none = F.expr("CAST(array() AS array<struct<kind:string,key:string>>)")
+    slots = F.concat(base, F.coalesce(event_hits(exec_pack, file_pack), none))
     is_run = F.col("kind") == "run"
     distinct = (
-        events.select(*keys, "seq", "event_type", F.explode_outer(slots).alias("hit"))
+        prepare(events).select(*keys, "seq", "event_type", F.explode_outer(slots).alias("hit"))
         .filter(F.col("hit").isNotNull())
         .select(*keys, "seq", "event_type", "hit.kind", "hit.key")
         .groupBy(*keys, "kind", "key")
         .agg(F.count_if(is_run).alias("events_analyzed"), F.max("seq").alias("last_seq"),
-             *[_type_count(t, n) for n, t in TYPE_COUNTS.items()])
+             *type_counts("kind = 'run'"))
     )
     counts = ("events_analyzed", *TYPE_COUNTS)
     per_run = distinct.groupBy(*keys).agg(
         F.max_by("key", F.when(is_run, F.col("last_seq"))).alias("package_name"),
-        F.sum(_points(exec_pack, file_pack)).alias("rule_points"),
+        F.sum(F.expr(_points_sql(exec_pack, file_pack))).alias("rule_points"),
         F.count_if(~is_run).alias("rule_findings"),
         *[F.sum(c).alias(c) for c in counts])
     burst = burst_points("execve_count")

@@ -30,9 +30,10 @@ def sessionize(events: DataFrame, gap_seconds: float = GAP_SECONDS, time: str =
     upto = Window.partitionBy(*keys).orderBy("first", "last", "package_name").rowsBetween(Window.unboundedPreceding, 0)
     opens = (F.col("first") - F.max("last").over(before) > gap).cast("int")
     numbered = slots.withColumn("opens", F.coalesce(opens, F.lit(1))).withColumn("session", F.sum("opens").over(upto))
-    return numbered.groupBy(*keys, "session").agg(
+    found = numbered.groupBy(*keys, "session").agg(
         F.timestamp_micros(F.min("first")).alias("session_start"), F.timestamp_micros(F.max("last")).alias("session_last"),
         F.sum("n").alias("events"), F.max_by("package_name", "last_seq").alias("package_name"))
+    return found.drop("session")
 
 
 def attach_sessions(events: DataFrame, sessions: DataFrame, time: str = "captured_at",

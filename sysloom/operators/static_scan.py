@@ -40,20 +40,19 @@ def scan_rule_pack(files: DataFrame, rules: Sequence[packs.CodeRule], ids: Seque
                    content: str = "content") -> DataFrame:
     """First matching line per (text, rule): rule number, line number, line preview."""
     rules = packs.checked(rules)
-    text = F.col(content)
 
-    def matches(rule: packs.CodeRule) -> Column:
-        regex = text.rlike(_unicode(rule.regex))
-        return (text.contains(rule.needle) & regex) if rule.needle else regex
+    def regex(rule: packs.CodeRule) -> str:
+        return fx.sql_text(_unicode(rule.regex))
 
-    hits = F.array(*[F.when(matches(r), F.lit(i)) for i, r in enumerate(rules, 1)])
-    per_rule = files.select(*ids, content, F.explode_outer(hits).alias("rule_no")).filter(F.col("rule_no").isNotNull())
-    lines = per_rule.select(*ids, "rule_no", F.split(text, fx.NEWLINE).alias("_lines"))
-
-    def first_line(rule: packs.CodeRule) -> Column:
-        return F.array_position(F.transform("_lines", lambda line: line.rlike(_unicode(rule.regex))), True)
+    def slot(number: int, rule: packs.CodeRule) -> str:
+        needle = f"contains({content}, {fx.sql_text(rule.needle)}) AND " if rule.needle else ""
+        return f"CASE WHEN {needle}{content} RLIKE {regex(rule)} THEN {number} END"
 
-    number = reduce(lambda acc, ir: acc.when(F.col("rule_no") == ir[0], first_line(ir[1])), enumerate(rules, 1), F)
+    hits = F.expr(f"array({', '.join(slot(i, r) for i, r in enumerate(rules, 1))})")
+    per_rule = files.select(*ids, content, F.explode_outer(hits).alias("rule_no")).filter(F.col("rule_no").isNotNull())
+    lines = per_rule.select(*ids, "rule_no", F.split(content, fx.NEWLINE).alias("_lines"))
+    first = " ".join(f"WHEN {i} THEN array_position(transform(_lines, x -> x RLIKE {regex(r)}), true)" for i, r in enumerate(rules, 1))
+    number = F.expr(f"CASE rule_no {first} END")
     found = lines.withColumn("line_no", number).filter(F.col("line_no") > 0)
     line = F.element_at("_lines", F.col("line_no").cast("int"))
     return found.select(*ids, "rule_no", F.col("line_no").cast("long").alias("line_no"),

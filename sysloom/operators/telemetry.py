@@ -22,7 +22,8 @@ def filter_events(events: DataFrame, event_type: str) -> DataFrame:
 
 def unsafe_file_access(events: DataFrame, prefixes=packs.SAFE_PREFIXES) -> DataFrame:
     """Opened files outside the places a normal install touches."""
-    return filter_events(events, "OPENAT").filter(~fx.is_safe_path(fx.strip_ws("filename"), prefixes))
+    opens = filter_events(events, "OPENAT").withColumn("path", fx.strip_ws("filename"))
+    return opens.filter(~fx.is_safe_path("path", prefixes)).drop("path")
 
 
 def suspicious_file_access(events: DataFrame, paths=packs.SENSITIVE_PATHS) -> DataFrame:

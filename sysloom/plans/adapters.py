@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import packs
+from ..functions.columns import sql_text
 
 EXEC_PROCESSES = ("sh", "npm", "node", "mkdir", "cp", "node", "sh", "npm", "sh", "whoami", "node", "curl",
                   "sh", "node", "npm", "node")
@@ -51,8 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _array_sql(values) -> str:
+    return "array(" + ", ".join(sql_text(v) if isinstance(v, str) else str(v) for v in values) + ")"
+
+
+def _pick_sql(values, index: str) -> str:
+    return f"get({_array_sql(values)}, CAST({index} AS INT))"
+
+
 def _pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    return F.get(F.expr(_array_sql(values)), index.cast("int"))
 
 
 def _floor_div(x: Column, n: int) -> Column:
@@ -61,32 +70,23 @@ def _floor_div(x: Column, n: int) -> Column:
 
 def syscalls(spark: SparkSession, sf_dir: str, by_user: bool = False) -> DataFrame:
     """V1: syscall events.  ``by_user`` gives one run per user (V1u)."""
-    e = table(spark, sf_dir, "events")
-    k = F.regexp_extract("props", r"(-?\d+)", 1).cast("long")
-    e = e.select("event_id", "ts", "user_id", F.col("event_type").alias("et"), "value",
-                 (F.col("event_id") * 7 + k).alias("h"))
-    h, et, eid = F.col("h"), F.col("et"), F.col("event_id")
-    kind = (F.when(et == "view", "EXECVE").when(et == "click", "OPENAT").when(et == "purchase", "WRITE")
-            .when(et == "signup", "CONNECT").when(h % 10 == 0, "UNLINK").when(h % 10 == 1, "UNKNOWN")
-            .otherwise("OPENAT"))
-    is_exec, is_connect, is_write = et == "view", et == "signup", et == "purchase"
-    run = F.concat(F.lit("det-"), F.col("user_id").cast("string"))
-    if not by_user:
-        run = F.concat(run, F.lit("-"), _floor_div(F.dayofmonth("ts") - 1, 6).cast("string"))
-    zero = F.lit(0).cast("long")
-    return e.select(
-        eid.alias("seq"), F.col("ts").cast("timestamp").alias("captured_at"), (eid * 1000).alias("timestamp_ns"),
-        F.concat(F.lit("pkg-"), (F.col("user_id") % 60).cast("string")).alias("package_name"),
-        run.alias("detonation_id"), F.md5(run.cast("binary")).alias("container_id"),
-        (1000 + eid % 200).alias("pid"), (1000 + _floor_div(eid % 200, 3)).alias("ppid"), kind.alias("event_type"),
-        F.when(is_exec, _pick(EXEC_PROCESSES, h % 16)).otherwise(_pick(OTHER_PROCESSES, h % 6)).alias("process_name"),
-        F.when(is_exec, _pick(EXEC_FILES, h % 16)).when(et.isin("click", "error"), _pick(OPEN_FILES, h % 24))
-        .otherwise("").alias("filename"),
-        F.when(is_connect, _pick(CONNECT_IPS, h % 8).cast("long")).otherwise(zero).alias("connect_ip"),
-        F.when(is_connect, _pick(CONNECT_PORTS, h % 4).cast("long")).otherwise(zero).alias("connect_port"),
-        F.when(is_write, F.floor(F.col("value") * 10).cast("long")).otherwise(zero).alias("write_bytes"),
-        F.when(is_write, eid % 6).otherwise(zero).alias("write_fd"),
-    )
+    e = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "ts", "user_id", "event_type AS et", "value", "event_id * 7 + CAST(regexp_extract(props, '(-?[0-9]+)', 1) AS BIGINT) AS h")
+    run = "concat('det-', user_id)" if by_user else "concat('det-', user_id, '-', (dayofmonth(ts) - 1) div 6)"
+    connect, write = "et = 'signup'", "et = 'purchase'"
+    return e.selectExpr(
+        "event_id AS seq", "CAST(ts AS TIMESTAMP) AS captured_at", "event_id * 1000 AS timestamp_ns",
+        "concat('pkg-', user_id % 60) AS package_name", f"{run} AS detonation_id", f"md5({run}) AS container_id",
+        "1000 + event_id % 200 AS pid", "1000 + (event_id % 200) div 3 AS ppid",
+        """CASE et WHEN 'view' THEN 'EXECVE' WHEN 'click' THEN 'OPENAT' WHEN 'purchase' THEN 'WRITE' WHEN 'signup' THEN 'CONNECT'
+           ELSE CASE h % 10 WHEN 0 THEN 'UNLINK' WHEN 1 THEN 'UNKNOWN' ELSE 'OPENAT' END END AS event_type""",
+        f"CASE WHEN et = 'view' THEN {_pick_sql(EXEC_PROCESSES, 'h % 16')} ELSE {_pick_sql(OTHER_PROCESSES, 'h % 6')} END AS process_name",
+        f"""CASE WHEN et = 'view' THEN {_pick_sql(EXEC_FILES, 'h % 16')} WHEN et IN ('click', 'error') THEN {_pick_sql(OPEN_FILES, 'h % 24')}
+           ELSE '' END AS filename""",
+        f"CAST(CASE WHEN {connect} THEN {_pick_sql(CONNECT_IPS, 'h % 8')} ELSE 0 END AS BIGINT) AS connect_ip",
+        f"CAST(CASE WHEN {connect} THEN {_pick_sql(CONNECT_PORTS, 'h % 4')} ELSE 0 END AS BIGINT) AS connect_port",
+        f"CASE WHEN {write} THEN CAST(floor(value * 10) AS BIGINT) ELSE 0L END AS write_bytes",
+        f"CASE WHEN {write} THEN event_id % 6 ELSE 0L END AS write_fd")
 
 
 def host_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
