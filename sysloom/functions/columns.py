@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import packs
 
@@ -38,6 +39,22 @@ def _any_sql(function: str, column: str, values: Sequence[str]) -> Column:
     return F.expr("(" + " OR ".join(tests or ["false"]) + ")")
 
 
+def parse_json(rows: DataFrame, column: str, schema: str | StructType, keep: Sequence[str]) -> DataFrame:
+    """Kept columns plus the fields of a JSON text; ``_bad`` in the schema takes
+    texts that do not fit it.
+
+    The fields come out of a generator: a later filter on one of them is not
+    pushed below it, so each text is parsed exactly once.
+    """
+    document = F.from_json(column, schema, {"columnNameOfCorruptRecord": "_bad"})
+    return rows.select(*keep, F.inline(F.array(document)))
+
+
+def once(value: Column) -> Column:
+    """Generator form of a costly expression, for the same reason as above."""
+    return F.explode_outer(F.array(value))
+
+
 def strip_ws(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(WHITESPACE))
 

@@ -15,15 +15,14 @@ BARE_SCHEMA = "dependencies map<string,string>, devDependencies map<string,strin
 
 
 def _parse(locks: DataFrame, schema: str) -> DataFrame:
-    """Unreadable files give no targets."""
-    doc = F.from_json("content", schema, {"columnNameOfCorruptRecord": "_bad"})
-    return locks.select("project", doc.alias("doc")).filter(F.col("doc._bad").isNull())
+    """Fields of the files; unreadable files give no targets."""
+    return fx.parse_json(locks, "content", schema, ["project"]).filter(F.col("_bad").isNull())
 
 
 def npm_lock_targets(locks: DataFrame) -> DataFrame:
     """Entries of the ``packages`` map (lockfile version 2 and later)."""
-    entries = _parse(locks, NPM_SCHEMA).filter(F.col("doc.lockfileVersion") >= 2).select(
-        "project", F.explode("doc.packages").alias("lock_key", "entry")).filter(F.col("lock_key") != "")
+    entries = _parse(locks, NPM_SCHEMA).filter(F.col("lockfileVersion") >= 2).select(
+        "project", F.explode("packages").alias("lock_key", "entry")).filter(F.col("lock_key") != "")
     marker = "node_modules/"
     name = F.coalesce(F.nullif("entry.name", F.lit("")), F.substring_index("lock_key", marker, -1))
     name = F.when(name.startswith(marker), F.substr(name, F.lit(len(marker) + 1))).otherwise(name)
@@ -32,22 +31,24 @@ def npm_lock_targets(locks: DataFrame) -> DataFrame:
 
 def npm_v1_targets(locks: DataFrame) -> DataFrame:
     """Top-level ``dependencies`` of older lockfiles."""
-    old = _parse(locks, NPM_SCHEMA).filter(F.coalesce("doc.lockfileVersion", F.lit(0)) < 2)
-    return old.select("project", F.explode("doc.dependencies").alias("name", "entry")).select(
+    old = _parse(locks, NPM_SCHEMA).filter(F.coalesce("lockfileVersion", F.lit(0)) < 2)
+    return old.select("project", F.explode("dependencies").alias("name", "entry")).select(
         "project", F.col("name").alias("lock_key"), "name", F.coalesce("entry.version", F.lit("")).alias("version"))
 
 
-def pnpm_keys(content: Column) -> Column:
-    """Keys of the top-level ``packages:`` block of a pnpm YAML text."""
-    block = F.regexp_extract(content, r"(?s)(?:^|\n)packages:[ \t]*\r?\n(.*?)(?=\n[^\s#]|\z)", 1)
-    indent = F.regexp_extract(block, r"^(?:[ \t]*(?:#[^\n]*)?\r?\n)*( +)\S", 1)
+def pnpm_keys(locks: DataFrame) -> DataFrame:
+    """(project, lock_key): keys of the top-level ``packages:`` block of pnpm YAML texts."""
+    block = F.regexp_extract("content", r"(?s)(?:^|\n)packages:[ \t]*\r?\n(.*?)(?=\n[^\s#]|\z)", 1)
+    indent = F.length(F.regexp_extract("block", r"^(?:[ \t]*(?:#[^\n]*)?\r?\n)*( +)\S", 1))
+    blocks = locks.select("project", block.alias("block")).select("project", "block", indent.alias("indent"))
+    lines = blocks.select("project", "indent", F.explode(F.split("block", fx.NEWLINE)).alias("line"))
     # a key is indented exactly like the first one; quotes are optional
-    lines = F.filter(F.split(block, fx.NEWLINE), lambda s: (F.length(s) - F.length(F.ltrim(s)) == F.length(indent)) & s.rlike(r"\S"))
-    keys = F.transform(lines, lambda s: F.coalesce(
-        F.nullif(F.regexp_extract(s, r"^\s*'((?:[^']|'')*)'\s*:", 1), F.lit("")),
-        F.nullif(F.regexp_extract(s, r'^\s*"([^"]*)"\s*:', 1), F.lit("")),
-        F.regexp_extract(s, r"^\s*([^\s#'\"].*?)\s*:(?:\s|$)", 1)))
-    return F.filter(keys, lambda k: k != "")
+    keyed = lines.filter((F.length("line") - F.length(F.ltrim("line")) == F.col("indent")) & F.col("line").rlike(r"\S"))
+    key = F.coalesce(
+        F.nullif(F.replace(F.regexp_extract("line", r"^\s*'((?:[^']|'')*)'\s*:", 1), F.lit("''"), F.lit("'")), F.lit("")),
+        F.nullif(F.regexp_extract("line", r'^\s*"([^"]*)"\s*:', 1), F.lit("")),
+        F.regexp_extract("line", r"^\s*([^\s#'\"].*?)\s*:(?:\s|$)", 1))
+    return keyed.select("project", key.alias("lock_key")).filter(F.col("lock_key") != "")
 
 
 def split_pnpm_key(key: Column) -> tuple[Column, Column]:
@@ -57,7 +58,7 @@ def split_pnpm_key(key: Column) -> tuple[Column, Column]:
 
 
 def pnpm_targets(locks: DataFrame) -> DataFrame:
-    keys = locks.select("project", F.explode(pnpm_keys(F.col("content"))).alias("lock_key"))
+    keys = pnpm_keys(locks)
     name, version = split_pnpm_key(F.col("lock_key"))
     return keys.select("project", "lock_key", name.alias("name"), version.alias("version")).filter(F.col("name") != "")
 
@@ -65,8 +66,8 @@ def pnpm_targets(locks: DataFrame) -> DataFrame:
 def manifest_targets(manifests: DataFrame) -> DataFrame:
     """Dependencies of a bare package.json; a development entry wins over a plain one."""
     doc = _parse(manifests, BARE_SCHEMA)
-    plain = F.coalesce("doc.dependencies", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    dev = F.coalesce("doc.devDependencies", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    plain = F.coalesce("dependencies", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    dev = F.coalesce("devDependencies", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
     merged = F.map_concat(F.map_filter(plain, lambda k, v: ~F.map_contains_key(dev, k)), dev)
     return doc.select("project", F.explode(merged).alias("name", "version")).select(
         "project", F.col("name").alias("lock_key"), "name", "version")

@@ -184,16 +184,18 @@ def strip_fence(text: Column) -> Column:
 
 
 def _parse(responses: DataFrame, schema: str) -> DataFrame:
-    answer = F.from_json(strip_fence(F.col("response")), schema, {"columnNameOfCorruptRecord": "_bad"})
-    # an answer that is no JSON object, or has a field of the wrong type, failed
-    ok = F.col("answer").isNotNull() & F.col("answer._bad").isNull() & strip_fence(F.col("response")).startswith("{")
-    return responses.withColumn("answer", answer).withColumn("parsed", F.coalesce(ok, F.lit(False)))
+    """Fields of the answers; an answer that is no JSON object, or has a field of
+    the wrong type, is not ``parsed``."""
+    texts = responses.select("detonation_id", fx.once(strip_fence(F.col("response"))).alias("text"))
+    rows = fx.parse_json(texts, "text", schema, ["detonation_id", "text"])
+    ok = F.col("_bad").isNull() & F.col("text").startswith("{")
+    return rows.withColumn("parsed", F.coalesce(ok, F.lit(False))).drop("text", "_bad")
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Answers as columns, ``parsed`` tells the failures."""
     rows = _parse(responses, ANSWER_SCHEMA)
-    value = lambda f: F.when(F.col("parsed"), F.col(f"answer.{f}"))
+    value = lambda f: F.when(F.col("parsed"), F.col(f))
     return rows.select("detonation_id", "parsed", *[value(f).alias(f) for f in ("threat_score", "risk_level", "recommendation", "findings")])
 
 
@@ -238,8 +240,8 @@ def merge_responses(verdicts: DataFrame, responses: DataFrame) -> DataFrame:
 def merge_attack_chains(verdicts: DataFrame, responses: DataFrame) -> DataFrame:
     """Attach summary and stages to malicious verdicts; score and findings stay."""
     rows = _parse(responses, CHAIN_SCHEMA).filter("parsed").select(
-        "detonation_id", F.lit(True).alias("_has"), F.col("answer.executive_summary").alias("_summary"),
-        F.col("answer.attack_chain").alias("_chain"))
+        "detonation_id", F.lit(True).alias("_has"), F.col("executive_summary").alias("_summary"),
+        F.col("attack_chain").alias("_chain"))
     joined = verdicts.join(rows, "detonation_id", "left")
     use = (F.col("threat_score") >= packs.MALICIOUS_FROM) & F.coalesce("_has", F.lit(False))
     none = F.array().cast("array<string>")

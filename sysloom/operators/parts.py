@@ -7,14 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def assign_parts(rows: DataFrame, keys: Sequence[str], bucket: Column, limit: int) -> DataFrame:
     """Add ``part_no``: 0 for keys of at most ``limit`` rows, else ``bucket``.
 
     ``bucket`` must grow with the row order and hold few rows, so that the parts
     of a large key, read by ascending part_no, give back all its rows in order.
-    Sizes are counted with map-side partials; only oversized keys are joined.
+    The rows are read twice and therefore materialised first; sizes are counted
+    with map-side partials and only oversized keys are joined.
     """
+    rows = cut_lineage(rows)
     oversized = (
         rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
         .filter(F.col("_rows") > limit).select(*keys, F.lit(True).alias("_oversized")))

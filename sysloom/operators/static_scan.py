@@ -53,7 +53,7 @@ def scan_rule_pack(files: DataFrame, rules: Sequence[packs.CodeRule], ids: Seque
     lines = per_rule.select(*ids, "rule_no", F.split(content, fx.NEWLINE).alias("_lines"))
     first = " ".join(f"WHEN {i} THEN array_position(transform(_lines, x -> x RLIKE {regex(r)}), true)" for i, r in enumerate(rules, 1))
     number = F.expr(f"CASE rule_no {first} END")
-    found = lines.withColumn("line_no", number).filter(F.col("line_no") > 0)
+    found = lines.select("*", fx.once(number).alias("line_no")).filter(F.col("line_no") > 0)
     line = F.element_at("_lines", F.col("line_no").cast("int"))
     return found.select(*ids, "rule_no", F.col("line_no").cast("long").alias("line_no"),
                         F.substring(fx.strip_ws(line), 1, PREVIEW_CHARS).alias("line"))
@@ -72,9 +72,8 @@ def scan_patterns(files: DataFrame, rules: Sequence[packs.CodeRule] = packs.CODE
 def lifecycle_hooks(files: DataFrame) -> DataFrame:
     """Install-time scripts of the root package.json; unreadable JSON gives none."""
     manifests = files.filter(F.col("path") == "package.json")
-    doc = F.from_json("content", "scripts map<string,string>, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    scripts = manifests.withColumn("doc", doc).filter(F.col("doc._bad").isNull()).select(
-        "package", "path", F.explode("doc.scripts").alias("hook", "script"))
+    docs = fx.parse_json(manifests, "content", "scripts map<string,string>, _bad string", ["package", "path"])
+    scripts = docs.filter(F.col("_bad").isNull()).select("package", "path", F.explode("scripts").alias("hook", "script"))
     mitre = "T1204.002"
     return scripts.filter(F.col("hook").isin(*packs.LIFECYCLE_HOOKS)).select(
         "package", "path", F.lit(0).alias("rule_no"), F.lit(0).cast("long").alias("line_no"), F.lit("HIGH").alias("severity"),

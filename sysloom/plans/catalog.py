@@ -17,7 +17,7 @@ from ..functions import packs
 from ..operators import (
     dependencies, lineage, narrative, registry, reports, rules, sessions, static_scan, telemetry,
 )
-from ..session import configure
+from ..session import configure, cut_lineage
 from ..sources import raw_records, syscalls
 from . import adapters as a
 
@@ -468,13 +468,13 @@ def finding_digest(spark, d):
 @query
 def analysis_prompts(spark, d):
     v = a.syscalls(spark, d)
-    return narrative.analysis_prompts(v, rules.findings(v), rules.verdicts(v))
+    return narrative.analysis_prompts(v, cut_lineage(rules.findings(v)), cut_lineage(rules.verdicts(v)))
 
 
 @query
 def attack_chain_prompts(spark, d):
     v = a.syscalls(spark, d)
-    return narrative.attack_chain_prompts(v, rules.findings(v), rules.verdicts(v))
+    return narrative.attack_chain_prompts(v, cut_lineage(rules.findings(v)), cut_lineage(rules.verdicts(v)))
 
 
 @query

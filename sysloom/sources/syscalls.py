@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..functions import columns as fx
 from ..schemas import EVENT_FIELDS, OPTIONAL_EVENT_FIELDS, REQUIRED_EVENT_FIELDS, SYSCALL_SCHEMA
 
 DEFAULT_TOPIC = "syscall-telemetry"
@@ -52,24 +53,17 @@ def decode_syscalls(raw: DataFrame, keep: Sequence[str] = ("seq",)) -> tuple[Dat
     lacks a required field or holds no number where one is due is rejected with
     a reason; absent optional fields take their defaults.
     """
-    message = F.from_json("value", _TEXT_SCHEMA, {"columnNameOfCorruptRecord": "_bad"})
-    parsed = raw.withColumn("_m", message)
+    parsed = fx.parse_json(raw, "value", _TEXT_SCHEMA, [*keep, "value"])
 
     def field(name: str) -> Column:
-        text = F.col(f"_m.{name}")
-        return text.try_cast("long") if isinstance(SYSCALL_SCHEMA[name].dataType, LongType) else text
-
-    def absent_or_valid(name: str) -> Column:
-        return F.col(f"_m.{name}").isNull() | field(name).isNotNull()
-
-    malformed = F.col("_m").isNull() | F.col("_m._bad").isNotNull()
-    missing = F.lit(False)
-    for name in REQUIRED_EVENT_FIELDS:
-        missing = missing | F.col(f"_m.{name}").isNull()
-    mistyped = F.lit(False)
-    for name in EVENT_FIELDS:
-        mistyped = mistyped | ~absent_or_valid(name)
-    reason = F.when(malformed, "malformed").when(missing, "missing field").when(mistyped, "not a number")
+        is_number = isinstance(SYSCALL_SCHEMA[name].dataType, LongType)
+        return F.col(name).try_cast("long") if is_number else F.col(name)
+
+    numbers = [n for n in EVENT_FIELDS if isinstance(SYSCALL_SCHEMA[n].dataType, LongType)]
+    missing = " OR ".join(f"{n} IS NULL" for n in REQUIRED_EVENT_FIELDS)
+    mistyped = " OR ".join(f"({n} IS NOT NULL AND try_cast({n} AS BIGINT) IS NULL)" for n in numbers)
+    reason = F.expr(f"""CASE WHEN _bad IS NOT NULL OR NOT startswith(ltrim(value), '{{') THEN 'malformed'
+        WHEN {missing} THEN 'missing field' WHEN {mistyped} THEN 'not a number' END""")
     judged = parsed.withColumn("reason", reason)
     columns = [F.coalesce(field(n), F.lit(OPTIONAL_EVENT_FIELDS[n]).cast(SYSCALL_SCHEMA[n].dataType)).alias(n)
                if n in OPTIONAL_EVENT_FIELDS else field(n).alias(n) for n in EVENT_FIELDS]
