@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..schemas import REPORT_SCHEMA
 
@@ -19,7 +20,7 @@ def write_reports(documents: DataFrame, path: str, batch_id: int = 0) -> None:
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """Latest report of each run (all its parts)."""
-    rows = spark.read.schema(REPORT_SCHEMA.add("batch_id", "long")).json(path)
+    rows = spark.read.schema(StructType([*REPORT_SCHEMA, StructField("batch_id", LongType())])).json(path)
     newest = rows.groupBy("report_id").agg(F.max("batch_id").alias("batch_id"))
     return rows.join(newest, ["report_id", "batch_id"]).select(*REPORT_SCHEMA.fieldNames())
 
