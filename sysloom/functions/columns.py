@@ -59,6 +59,12 @@ def strip_ws(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
+def split_lines(c: Column | str) -> Column:
+    """Lines of a text with any line ends; the plain case needs no regex."""
+    text = _col(c)
+    return F.when(text.contains("\r"), F.split(text, NEWLINE)).otherwise(F.split(text, "\n"))
+
+
 def basename(c: Column | str) -> Column:
     return F.substring_index(_col(c), "/", -1)
 

@@ -41,7 +41,7 @@ def pnpm_keys(locks: DataFrame) -> DataFrame:
     block = F.regexp_extract("content", r"(?s)(?:^|\n)packages:[ \t]*\r?\n(.*?)(?=\n[^\s#]|\z)", 1)
     indent = F.length(F.regexp_extract("block", r"^(?:[ \t]*(?:#[^\n]*)?\r?\n)*( +)\S", 1))
     blocks = locks.select("project", block.alias("block")).select("project", "block", indent.alias("indent"))
-    lines = blocks.select("project", "indent", F.explode(F.split("block", fx.NEWLINE)).alias("line"))
+    lines = blocks.select("project", "indent", F.explode(fx.split_lines("block")).alias("line"))
     # a key is indented exactly like the first one; quotes are optional
     keyed = lines.filter((F.length("line") - F.length(F.ltrim("line")) == F.col("indent")) & F.col("line").rlike(r"\S"))
     key = F.coalesce(

@@ -10,21 +10,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP_SECONDS = 8.0
 
 
+def time_slot(time: Column | str, gap_micros: int) -> Column:
+    """Start of the gap-wide slot that holds a time, in microseconds."""
+    micros = F.unix_micros(time)
+    return micros - F.pmod(micros, F.lit(gap_micros))
+
+
 def sessionize(events: DataFrame, gap_seconds: float = GAP_SECONDS, time: str = "captured_at",
                keys: Sequence[str] = ("detonation_id",)) -> DataFrame:
     """(keys, session_start, session_last, events, package_name).  A silence
     longer than the gap starts a new session; the last event names the package."""
     gap = int(gap_seconds * 1_000_000)
     micros = F.unix_micros(time)
-    # a negative remainder cannot occur after pmod, so slots are even everywhere
-    slot = micros - F.pmod(micros, F.lit(gap))
-    slots = events.groupBy(*keys, slot.alias("slot"), "package_name").agg(
+    slots = events.groupBy(*keys, time_slot(time, gap).alias("slot"), "package_name").agg(
         F.min(micros).alias("first"), F.max(micros).alias("last"), F.max("seq").alias("last_seq"), F.count("*").alias("n"))
     before = Window.partitionBy(*keys).orderBy("first", "last", "package_name").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*keys).orderBy("first", "last", "package_name").rowsBetween(Window.unboundedPreceding, 0)
@@ -36,8 +40,18 @@ def sessionize(events: DataFrame, gap_seconds: float = GAP_SECONDS, time: str =
     return found.drop("session")
 
 
-def attach_sessions(events: DataFrame, sessions: DataFrame, time: str = "captured_at",
+def attach_sessions(events: DataFrame, sessions: DataFrame, gap_seconds: float = GAP_SECONDS, time: str = "captured_at",
                     keys: Sequence[str] = ("detonation_id",)) -> DataFrame:
-    """Events with the start of the session they fall in."""
-    bounds = sessions.select(*keys, "session_start", F.col("session_last").alias("_last"))
-    return events.join(bounds, list(keys)).filter(F.col(time).between(F.col("session_start"), F.col("_last"))).drop("_last")
+    """Events with the start of the session they fall in.
+
+    A session is unfolded into its time slots (at most about two per event) and
+    joined by (keys, slot).  Sessions lie more than a gap apart, so a slot has
+    one session at most: the join is an equi-join with one match per event, and
+    the slot spreads the events of a very large run over the partitions.
+    """
+    gap = int(gap_seconds * 1_000_000)
+    first, last = time_slot("session_start", gap), time_slot("session_last", gap)
+    slots = sessions.select(*keys, "session_start", F.col("session_last").alias("_last"),
+                            F.explode(F.sequence(first, last, F.lit(gap).cast("long"))).alias("_slot"))
+    joined = events.withColumn("_slot", time_slot(time, gap)).join(slots, [*keys, "_slot"])
+    return joined.filter(F.col(time).between(F.col("session_start"), F.col("_last"))).drop("_last", "_slot")

@@ -1,8 +1,8 @@
 """Static scan of package sources: (package, path, content) rows in, findings out.
 
 The scan is row-local and has no shuffle.  A rule's literal needle is tested on
-the bytes first; the regex runs on texts that hold the needle; only texts that
-match are split into lines to find the first matching line.
+the bytes of the whole text first; only texts that hold it are split into lines,
+and the regex runs on the lines that hold it.
 """
 
 from __future__ import annotations
@@ -44,15 +44,21 @@ def scan_rule_pack(files: DataFrame, rules: Sequence[packs.CodeRule], ids: Seque
     def regex(rule: packs.CodeRule) -> str:
         return fx.sql_text(_unicode(rule.regex))
 
+    def holds(rule: packs.CodeRule, text: str) -> str:
+        return f"contains({text}, {fx.sql_text(rule.needle)})"
+
     def slot(number: int, rule: packs.CodeRule) -> str:
-        needle = f"contains({content}, {fx.sql_text(rule.needle)}) AND " if rule.needle else ""
-        return f"CASE WHEN {needle}{content} RLIKE {regex(rule)} THEN {number} END"
+        candidate = holds(rule, content) if rule.needle else f"{content} RLIKE {regex(rule)}"
+        return f"CASE WHEN {candidate} THEN {number} END"
+
+    def first_line(rule: packs.CodeRule) -> str:
+        needle = f"{holds(rule, 'x')} AND " if rule.needle else ""
+        return f"array_position(transform(_lines, x -> {needle}x RLIKE {regex(rule)}), true)"
 
     hits = F.expr(f"array({', '.join(slot(i, r) for i, r in enumerate(rules, 1))})")
     per_rule = files.select(*ids, content, F.explode_outer(hits).alias("rule_no")).filter(F.col("rule_no").isNotNull())
-    lines = per_rule.select(*ids, "rule_no", F.split(content, fx.NEWLINE).alias("_lines"))
-    first = " ".join(f"WHEN {i} THEN array_position(transform(_lines, x -> x RLIKE {regex(r)}), true)" for i, r in enumerate(rules, 1))
-    number = F.expr(f"CASE rule_no {first} END")
+    lines = per_rule.select(*ids, "rule_no", fx.split_lines(content).alias("_lines"))
+    number = F.expr("CASE rule_no " + " ".join(f"WHEN {i} THEN {first_line(r)}" for i, r in enumerate(rules, 1)) + " END")
     found = lines.select("*", fx.once(number).alias("line_no")).filter(F.col("line_no") > 0)
     line = F.element_at("_lines", F.col("line_no").cast("int"))
     return found.select(*ids, "rule_no", F.col("line_no").cast("long").alias("line_no"),

@@ -547,7 +547,7 @@ def session_verdicts(spark, d):
     """Each session scored on its own."""
     v = a.syscalls(spark, d, by_user=True)
     found = sessions.sessionize(v, SESSION_GAP_SECONDS)
-    per_session = sessions.attach_sessions(v, found)
+    per_session = sessions.attach_sessions(v, found, SESSION_GAP_SECONDS)
     return rules.verdicts(per_session, keys=("detonation_id", "session_start")).select(
         "detonation_id", "session_start", "threat_score", "events_analyzed", "finding_count")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import packs
 from ..schemas import PACKAGE_FILE_SCHEMA
 
+ARCHIVES_PER_BATCH = 16
 TARBALL_SUFFIXES = (".tgz", ".tar.gz")
 SUFFIX_GLOB = "*{" + ",".join((*packs.SCANNABLE_SUFFIXES, "package.json")) + "}"
 
@@ -69,9 +70,10 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_package_tarballs(spark: SparkSession, glob: str) -> DataFrame:
     """Members of .tgz / .tar.gz archives; an archive is one package.
 
-    Archives are small (a registry limits them) and independent, so each is
-    unpacked in the task that reads it.
+    Archives are independent and limited in size by the registry, so each is
+    unpacked in the task that reads it, a few per Arrow batch.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARCHIVES_PER_BATCH)
     archives = spark.read.format("binaryFile").load(glob)
     name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.(tgz|tar\.gz)$", "")
     return archives.select(name.alias("package"), "content").mapInPandas(_unpack, PACKAGE_FILE_SCHEMA)

@@ -34,6 +34,8 @@ def ingest(raw: DataFrame, table: str, quarantine: str, checkpoint: str, trigger
     def write(batch: DataFrame, batch_id: int) -> None:
         events, rejects = syscalls.decode_syscalls(batch)
         events = syscalls.with_arrival_order(events)
+        # an event without a readable capture time counts from its arrival
+        events = events.withColumn("captured_at", F.coalesce("captured_at", F.current_timestamp()))
         # one folder per batch and day; dynamic overwrite makes a replay idempotent
         (events.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("captured_on", F.to_date("captured_at"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("captured_on", "batch_id").parquet(table))
@@ -43,11 +45,11 @@ def ingest(raw: DataFrame, table: str, quarantine: str, checkpoint: str, trigger
             .trigger(**(trigger or {"processingTime": "2 seconds"})).start())
 
 
-def closed_sessions(events: DataFrame, gap: str = "8 seconds", delay: str = "30 seconds") -> DataFrame:
+def closed_sessions(events: DataFrame, gap_seconds: float = sessions.GAP_SECONDS, delay: str = "30 seconds") -> DataFrame:
     """Sessions of an event stream once the watermark has passed their end."""
     return (
         events.withWatermark("captured_at", delay)
-        .groupBy("detonation_id", F.session_window("captured_at", gap).alias("w"))
+        .groupBy("detonation_id", F.session_window("captured_at", f"{int(gap_seconds * 1_000_000)} microseconds").alias("w"))
         .agg(F.count("*").alias("events"), F.max("captured_at").alias("session_last"))
         .select("detonation_id", F.col("w.start").alias("session_start"), "session_last", "events"))
 
@@ -90,8 +92,8 @@ def report_batch(scored: DataFrame, found: DataFrame, analyzed_at: Column | None
     return reports.report_documents(scored.filter(~replaced), found, analyzed_at).unionByName(answered)
 
 
-def score_sessions(spark: SparkSession, table: str, report_path: str, checkpoint: str, gap: str = "8 seconds",
-                   delay: str = "30 seconds", trigger: dict | None = None,
+def score_sessions(spark: SparkSession, table: str, report_path: str, checkpoint: str,
+                   gap_seconds: float = sessions.GAP_SECONDS, delay: str = "30 seconds", trigger: dict | None = None,
                    score: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = score_batch) -> StreamingQuery:
     """Score every closed session of the event table and upsert its report."""
     stream = spark.readStream.schema(EVENT_TABLE_SCHEMA).parquet(table)
@@ -104,7 +106,7 @@ def score_sessions(spark: SparkSession, table: str, report_path: str, checkpoint
                 return
             # the two dates prune the event table's partitions
             history = spark.read.schema(EVENT_TABLE_SCHEMA).parquet(table).filter(F.col("captured_on").between(*days))
-            events = sessions.attach_sessions(history, closed)
+            events = sessions.attach_sessions(history, closed, gap_seconds)
             # the session is part of the run's identity while scoring
             run = F.concat_ws("@", "detonation_id", F.unix_micros("session_start").cast("string"))
             scored, found = score(events.withColumn("detonation_id", run))
@@ -112,7 +114,7 @@ def score_sessions(spark: SparkSession, table: str, report_path: str, checkpoint
         finally:
             closed.unpersist()
 
-    return (closed_sessions(stream, gap, delay).writeStream.outputMode("append").foreachBatch(handle)
+    return (closed_sessions(stream, gap_seconds, delay).writeStream.outputMode("append").foreachBatch(handle)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "2 seconds"})).start())
 
 
