@@ -8,8 +8,8 @@ the first aggregation on (run, kind, key) has map-side partials that collapse
 even a run holding most of the data to a handful of rows per task.  Only then
 is anything grouped by run.
 
-``verdicts`` needs counts and distinct keys only: all its aggregation buffers
-are longs, so the pass over the events is a hash aggregation of one scan.
+``verdicts`` needs counts and distinct keys only: its passes over the events are
+hash aggregations without text in their buffers.
 ``findings`` needs the first event's text as evidence and therefore works on
 the matched events alone.
 
@@ -204,8 +204,8 @@ def event_type_counts(events: DataFrame, keys: Sequence[str] = RUN) -> DataFrame
         *type_counts())
 
 
-def type_counts(condition: str = "true") -> list[Column]:
-    return [F.expr(f"count_if({condition} AND event_type = '{t}') AS {n}") for n, t in TYPE_COUNTS.items()]
+def type_counts() -> list[Column]:
+    return [F.expr(f"count_if(event_type = '{t}') AS {n}") for n, t in TYPE_COUNTS.items()]
 
 
 def _points_sql(exec_pack, file_pack) -> str:
@@ -220,29 +220,23 @@ def _points_sql(exec_pack, file_pack) -> str:
 
 def verdicts(events: DataFrame, keys: Sequence[str] = RUN,
              exec_pack=packs.EXEC_RULES, file_pack=packs.FILE_RULES) -> DataFrame:
-    """Scored verdict per run from one scan of the events.
+    """Scored verdict per run.
 
-    Each event yields a ``run`` row that carries the counts (its key is the
-    package name) and one row per fired rule.
+    Two column-pruned passes, both hash aggregations with map-side partials:
+    the counts read four columns of all events, the distinct (kind, key) hits
+    read the matched events.  Both shrink to rows per run and meet in one
+    small aggregation.
     """
-    base = F.expr(f"array({_hit('run', 'package_name')})")
-    none = F.expr("CAST(array() AS array<struct<kind:string,key:string>>)")
-    slots = F.concat(base, F.coalesce(event_hits(exec_pack, file_pack), none))
-    is_run = F.col("kind") == "run"
-    distinct = (
-        prepare(events).select(*keys, "seq", "event_type", F.explode_outer(slots).alias("hit"))
-        .filter(F.col("hit").isNotNull())
-        .select(*keys, "seq", "event_type", "hit.kind", "hit.key")
-        .groupBy(*keys, "kind", "key")
-        .agg(F.count_if(is_run).alias("events_analyzed"), F.max("seq").alias("last_seq"),
-             *type_counts("kind = 'run'"))
-    )
     counts = ("events_analyzed", *TYPE_COUNTS)
-    per_run = distinct.groupBy(*keys).agg(
-        F.max_by("key", F.when(is_run, F.col("last_seq"))).alias("package_name"),
-        F.sum(F.expr(_points_sql(exec_pack, file_pack))).alias("rule_points"),
-        F.count_if(~is_run).alias("rule_findings"),
-        *[F.sum(c).alias(c) for c in counts])
+    seen = events.groupBy(*keys, "package_name").agg(
+        F.max("seq").alias("last_seq"), F.count("*").alias("events_analyzed"), *type_counts())
+    hits = hit_events(events, keys, exec_pack, file_pack).select(*keys, "kind", "key").distinct()
+    points = hits.groupBy(*keys).agg(
+        F.sum(F.expr(_points_sql(exec_pack, file_pack))).cast("long").alias("rule_points"), F.count("*").alias("rule_findings"))
+    rows = seen.unionByName(points, allowMissingColumns=True)
+    per_run = rows.groupBy(*keys).agg(
+        F.max_by("package_name", "last_seq").alias("package_name"),
+        *[F.expr(f"coalesce(sum({c}), 0) AS {c}") for c in ("rule_points", "rule_findings", *counts)])
     burst = burst_points("execve_count")
     score = F.least(F.col("rule_points") + burst, F.lit(100)).cast("long")
     risk = fx.risk_band("threat_score")
