@@ -1,8 +1,7 @@
-"""Session settings and lineage cuts."""
+"""Session settings and written tables that cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+SCRATCH = "sysloom_scratch"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings the operators rely on."""
@@ -21,29 +22,37 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only a local master
-    without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sysloom-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``.
+
+    A session without that setting uses a folder in its warehouse, which the driver and
+    the executors share as well; a machine-local temporary folder is never used.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+    return shared.rstrip("/") + "/" + SCRATCH
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+    """Write ``df`` once as a table in the shared folder and read it back.
 
-    The table survives the loss of executors, and unlike ``checkpoint()``, which
-    runs the last stage again to save it, the rows are computed exactly once.
+    The table survives the loss of executors and each row is computed exactly once.
+    ``release`` drops it as soon as no later step reads it.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {SCRATCH} LOCATION '{scratch_folder(spark)}'")
+    name = f"{SCRATCH}.t_{uuid.uuid4().hex}"
+    df.write.format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    table._scratch_name = name
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Drop tables made by ``cut_lineage`` together with their files."""
+    for table in tables:
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._scratch_name}")
+
+
+def release_all(spark: SparkSession) -> None:
+    """Drop every table that ``cut_lineage`` left in this session."""
+    spark.sql(f"DROP DATABASE IF EXISTS {SCRATCH} CASCADE")
