@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import passages, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op5_passages(spark, d):
+    return passages.repeated_passages(table(spark, d, "documents"), min_words=50, similarity=0.8)
+
+
 @query
 def op8_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"), size=4, max_bits=4)
