@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import passages, simhash
+from . import bpe, decontaminate, language, passages, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,11 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """A file of the public tokenizers; read by the driver only."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op2_language(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, vocabulary("piece_bpe_32k.model"))
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "lang")
+
+
 @query
 def op5_passages(spark, d):
     return passages.repeated_passages(table(spark, d, "documents"), min_words=50, similarity=0.8)
 
 
+@query
+def op7_bpe(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, vocabulary("byte_bpe_50k.json")).drop("text")
+
+
 @query
 def op8_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"), size=4, max_bits=4)
+
+
+@query
+def op10_decontaminate(spark, d):
+    return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), window=20, similarity=0.8)
+
+
+SQL["op10_decontaminate"] = decontaminate.SQL
