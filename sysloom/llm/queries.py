@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, language, passages, simhash
+from ..session import scratch_folder
+from . import bpe, decontaminate, kdtree, language, passages, simhash, sketch, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +30,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_warc(spark, d):
+    folder = f"{scratch_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, d, "pages"), folder)
+    return warc.archive_index(warc.reassemble(warc.read_records(spark, folder)))
+
+
+SQL["op1_warc"] = warc.SQL
+
+
 @query
 def op2_language(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
@@ -35,6 +47,11 @@ def op2_language(spark, d):
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "lang")
 
 
+@query
+def op4_kdtree(spark, d):
+    return kdtree.shard(table(spark, d, "documents"), 40)
+
+
 @query
 def op5_passages(spark, d):
     return passages.repeated_passages(table(spark, d, "documents"), min_words=50, similarity=0.8)
@@ -51,6 +68,11 @@ def op8_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"), size=4, max_bits=4)
 
 
+@query
+def op9_sketch(spark, d):
+    return sketch.against_neighbours(table(spark, d, "documents"))
+
+
 @query
 def op10_decontaminate(spark, d):
     return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), window=20, similarity=0.8)
