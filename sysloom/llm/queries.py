@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, decontaminate, kdtree, language, passages, simhash, sketch, warc
+from . import bpe, decontaminate, kdtree, language, passages, quality, simhash, sketch, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,6 +48,26 @@ def op2_language(spark, d):
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "lang")
 
 
+def labelled(spark: SparkSession, d: str, label: str, max_docs: int) -> DataFrame:
+    """(text, label) of about ``max_docs`` labelled documents that are not held out.
+
+    The labels are sampled by a hash of the id, which bounds what is broadcast to the texts.
+    """
+    usable = F.col("doc_id").isNotNull() & ~language.held_out("doc_id") & F.col(label).isin(0, 1)
+    labels = table(spark, d, "labels").filter(usable).select("doc_id", F.col(label).cast("int").alias("label"))
+    share = max_docs / max(1, labels.count())
+    if share < 1:
+        labels = labels.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "label")
+
+
+@query
+def op3_toxicity(spark, d):
+    weights = toxicity.fit(labelled(spark, d, "toxic", toxicity.MAX_FIT_DOCS))
+    docs = table(spark, d, "documents").select("doc_id", language.held_out("doc_id").alias("held_out"), "text")
+    return toxicity.score(docs, weights, threshold=0.3).drop("text")
+
+
 @query
 def op4_kdtree(spark, d):
     return kdtree.shard(table(spark, d, "documents"), 40)
@@ -57,6 +78,13 @@ def op5_passages(spark, d):
     return passages.repeated_passages(table(spark, d, "documents"), min_words=50, similarity=0.8)
 
 
+@query
+def op6_quality(spark, d):
+    model = quality.fit(labelled(spark, d, "quality", quality.MAX_FIT_DOCS))
+    docs = table(spark, d, "documents").select("doc_id", language.held_out("doc_id").alias("held_out"), "text")
+    return quality.score(docs, model, threshold=0.7).drop("text")
+
+
 @query
 def op7_bpe(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
