@@ -6,20 +6,52 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sysloom.llm import simhash
+from sysloom.llm import bpe, decontaminate, language, passages, simhash
+from sysloom.llm.queries import table, vocabulary
 from sysloom.session import scratch_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Posterior of the best language below which a document is rejected.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter or without a clear language go."""
+    found = language.identify(docs, vocabulary("piece_bpe_32k.model"))
+    sure = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    return found.filter(sure).select(*docs.columns)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
     return simhash.keep_first(docs, size=4, max_bits=4)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that repeat an earlier document's are cut out."""
+    kept = passages.drop_repeats(docs, min_words=50, similarity=0.8)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"), window=20, similarity=0.8)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text."""
+    return bpe.round_trip(docs.select("doc_id", "n_chars", "text"), vocabulary("byte_bpe_50k.json")).drop("text")
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
     ("simhash_near_dedup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", benchmark_leaks),
+    ("bpe", encode),
 ]
 
 #: Stages learn models and encode byte pairs, which SQL does not express.
@@ -28,7 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     folder = f"{scratch_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
