@@ -113,7 +113,7 @@ def word_scores(words: np.ndarray, pieces: Pieces, probability: np.ndarray) -> n
         letters = _letters(chosen, int(total[-1]) - 1)
         alpha = {0: np.ones((len(part), probability.shape[1]))}
         hashes: dict[int, np.ndarray] = {}
-        scale, done = np.zeros((len(part), 1)), 0
+        scale, done = np.zeros((len(part), probability.shape[1])), 0
         for end in range(1, int(total[-1]) + 1):
             hashes[end - 1] = np.zeros(len(part) - done, np.uint64)
             hashes.pop(end - 1 - pieces.longest, None)
@@ -127,11 +127,10 @@ def word_scores(words: np.ndarray, pieces: Pieces, probability: np.ndarray) -> n
                     at[at == pieces.size] = pieces.size + 1
                 acc += alpha[start] * probability[at]
             if end % 16 == 0:
-                top = acc.max(axis=1, keepdims=True)
-                scale[done:] += np.log(top)
-                acc /= top
+                scale[done:] += np.log(acc)
                 for start in alpha:
-                    alpha[start] = alpha[start] / top
+                    alpha[start] = alpha[start] / acc
+                acc = np.ones_like(acc)
             alpha[end] = acc
             over = int(np.searchsorted(total, end, "right"))
             if over > done:  # the words that end here

@@ -213,7 +213,7 @@ def archive_index(records: DataFrame, kind: str = "long") -> DataFrame:
     rows = responses.withColumn("to", F.lit(None).cast("string")).unionByName(found)
     return rows.select(
         page_id(F.col("record_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
-        F.when(F.col("to").isNull(), "response").otherwise("revisit").alias("record_type"), page_id(F.col("to")).cast(kind).alias("refers_to"))
+        F.when(F.col("to").isNull(), "response").otherwise("revisit").alias("record_type"), page_id(F.col("to")).cast(kind).alias("refers_to")).distinct()
 
 
 #: The index from the pages themselves, by another engine.
