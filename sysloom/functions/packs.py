@@ -179,6 +179,11 @@ def checked(pack):
     return pack
 
 
+def first_per_pattern(pack):
+    """The pack with the first of several rules on one pattern, which is the one that counts."""
+    return tuple({r.pattern: r for r in reversed(pack)}[p] for p in dict.fromkeys(r.pattern for r in pack))
+
+
 def pack_table(spark: SparkSession, pack, kind: str) -> DataFrame:
     """Pack as a table (kind, ordinal, pattern, points, ...), for attribute lookup.
 

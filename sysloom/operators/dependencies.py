@@ -36,21 +36,48 @@ def npm_v1_targets(locks: DataFrame) -> DataFrame:
         "project", F.col("name").alias("lock_key"), "name", F.coalesce("entry.version", F.lit("")).alias("version"))
 
 
+_PNPM_BLOCK = r"(?s)(?:^|\n)packages:[ \t]*\r?\n(.*?)(?=\n[^\s#]|\z)"
+
+
 def pnpm_keys(locks: DataFrame) -> DataFrame:
-    """(project, lock_key): keys of the top-level ``packages:`` block of pnpm YAML texts."""
-    block = F.regexp_extract("content", r"(?s)(?:^|\n)packages:[ \t]*\r?\n(.*?)(?=\n[^\s#]|\z)", 1)
-    indent = F.length(F.regexp_extract("block", r"^(?:[ \t]*(?:#[^\n]*)?\r?\n)*( +)\S", 1))
-    blocks = locks.select("project", block.alias("block")).select("project", "block", indent.alias("indent"))
-    lines = blocks.select("project", "indent", F.explode(fx.split_lines("block")).alias("line"))
-    # a key is indented exactly like the first one; quotes are optional
-    keyed = lines.filter((F.length("line") - F.length(F.ltrim("line")) == F.col("indent")) & F.col("line").rlike(r"\S"))
+    """(project, lock_key): keys of the top-level ``packages:`` block of pnpm YAML texts.
+
+    Block style with plain, quoted and explicit (``? key``) keys.  No pattern repeats a group,
+    so texts and keys of any length are matched without recursion.
+    """
+    lines = fx.split_lines("block")
+    blocks = locks.select("project", F.regexp_extract("content", _PNPM_BLOCK, 1).alias("block")).select("project", lines.alias("lines"))
+    text = F.filter("lines", lambda x: (F.ltrim(x) != "") & ~F.ltrim(x).startswith("#"))
+    blocks = blocks.select("project", text.alias("lines"))
+    width = lambda x: F.length(x) - F.length(F.ltrim(x))
+    blocks = blocks.select("project", "lines", width(F.get("lines", F.lit(0))).alias("indent"))
+    rows = blocks.select("project", "indent", F.explode("lines").alias("line"))
+    # a key is indented exactly like the first one; a line from a colon on is an explicit key's value
+    rows = rows.filter((width(F.col("line")) == F.col("indent")) & ~F.ltrim("line").startswith(":"))
+    bare = F.ltrim("line")
+    entry = F.when(bare.startswith("? "), F.concat(F.rtrim(F.ltrim(F.substr(bare, F.lit(3)))), F.lit(":"))).otherwise(bare)
+    keyed = rows.select("project", entry.alias("entry"))
     key = F.coalesce(
-        F.nullif(F.replace(F.regexp_extract("line", r"^\s*'((?:[^']|'')*)'\s*:", 1), F.lit("''"), F.lit("'")), F.lit("")),
-        F.nullif(F.regexp_extract("line", r'^\s*"([^"]*)"\s*:', 1), F.lit("")),
-        F.regexp_extract("line", r"^\s*([^\s#'\"].*?)\s*:(?:\s|$)", 1))
+        F.nullif(F.replace(F.regexp_extract("entry", r"^'(.*?)'\s*:(?:\s|$)", 1), F.lit("''"), F.lit("'")), F.lit("")),
+        F.nullif(F.regexp_extract("entry", r'^"([^"]*)"\s*:', 1), F.lit("")),
+        F.regexp_extract("entry", r"^([^\s#'\"].*?)\s*:(?:\s|$)", 1))
     return keyed.select("project", key.alias("lock_key")).filter(F.col("lock_key") != "")
 
 
+def rejected_lockfiles(locks: DataFrame, dialect: str) -> DataFrame:
+    """(project, problem) of the files that give no target although they may have some.
+
+    ``dialect`` is npm or manifest (JSON that cannot be read) or pnpm (a ``packages``
+    value that is not written in block style).
+    """
+    if dialect == "pnpm":
+        inline = F.regexp_extract("content", r"(?:^|\n)packages:[ \t]*([^\s#][^\n]*)", 1)
+        return locks.filter((inline != "") & ~inline.rlike(r"^\{\s*\}\s*$")).select("project", F.lit("not in block style").alias("problem"))
+    schema = {"npm": NPM_SCHEMA, "manifest": BARE_SCHEMA}[dialect]
+    bad = fx.parse_json(locks, "content", schema, ["project"]).filter(F.col("_bad").isNotNull())
+    return bad.select("project", F.lit("not readable").alias("problem"))
+
+
 def split_pnpm_key(key: Column) -> tuple[Column, Column]:
     """pnpm key to (name, version): no leading slash, no peer suffix, last @ splits."""
     bare = F.when(key.startswith("/"), F.substr(key, F.lit(2))).otherwise(key)

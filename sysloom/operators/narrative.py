@@ -209,14 +209,20 @@ def valid_findings(findings: Column) -> Column:
         FINDING_TYPE.simpleString().join(("array<", ">")))
 
 
-def merge_responses(verdicts: DataFrame, responses: DataFrame) -> DataFrame:
+def one_answer(responses: DataFrame, order: str | None = None) -> DataFrame:
+    """The last answer of each run by ``order``; the greatest text among equals, or without an order."""
+    rank = F.struct(*([order] if order else []), "response")
+    return responses.groupBy("detonation_id").agg(F.max_by("response", rank).alias("response"))
+
+
+def merge_responses(verdicts: DataFrame, responses: DataFrame, order: str | None = None) -> DataFrame:
     """Refine the ambiguous verdicts by their answers.
 
     A parsed answer replaces score, risk, recommendation and findings
     (``model_findings``); a missing or failed one keeps the rule verdict and
     says so.  Verdicts outside the ambiguous band pass unchanged.
     """
-    answers = parse_responses(responses).select(
+    answers = parse_responses(one_answer(responses, order)).select(
         "detonation_id", "parsed", F.col("threat_score").alias("_score"), F.col("risk_level").alias("_risk"),
         F.col("recommendation").alias("_advice"), F.col("findings").alias("_findings"))
     joined = verdicts.join(answers, "detonation_id", "left")
@@ -237,9 +243,9 @@ def merge_responses(verdicts: DataFrame, responses: DataFrame) -> DataFrame:
     return out.withColumn("finding_count", count.cast("long")).drop("_rule_count")
 
 
-def merge_attack_chains(verdicts: DataFrame, responses: DataFrame) -> DataFrame:
+def merge_attack_chains(verdicts: DataFrame, responses: DataFrame, order: str | None = None) -> DataFrame:
     """Attach summary and stages to malicious verdicts; score and findings stay."""
-    rows = _parse(responses, CHAIN_SCHEMA).filter("parsed").select(
+    rows = _parse(one_answer(responses, order), CHAIN_SCHEMA).filter("parsed").select(
         "detonation_id", F.lit(True).alias("_has"), F.col("executive_summary").alias("_summary"),
         F.col("attack_chain").alias("_chain"))
     joined = verdicts.join(rows, "detonation_id", "left")

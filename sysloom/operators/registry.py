@@ -91,6 +91,8 @@ def _nearest_by_join(packages: DataFrame, popular: Sequence[str]) -> DataFrame:
     names = packages.select("package_name").distinct()
     known = names.sparkSession.createDataFrame([(p,) for p in popular], "target string")
     names = names.join(known, F.col("package_name") == F.col("target"), "left_anti")
+    # longer names have no popular one within reach, and very many variants
+    names = names.filter(F.length("package_name") <= max(map(len, popular), default=0) + MAX_DISTANCE)
     left = names.select("package_name", F.explode(deletion_variants(F.lower("package_name"))).alias("variant"))
     right = known.select("target", F.explode(deletion_variants(F.lower("target"))).alias("variant"))
     pairs = left.join(right, "variant").select("package_name", "target").distinct()

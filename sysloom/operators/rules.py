@@ -152,6 +152,7 @@ def burst_points(execve_count: Column | str) -> Column:
 
 
 def _rule_table(spark, exec_pack, file_pack) -> DataFrame:
+    exec_pack, file_pack = packs.first_per_pattern(exec_pack), packs.first_per_pattern(file_pack)
     return packs.pack_table(spark, exec_pack, "exec").unionByName(packs.pack_table(spark, file_pack, "file"))
 
 
@@ -211,7 +212,7 @@ def type_counts() -> list[Column]:
 def _points_sql(exec_pack, file_pack) -> str:
     """Points of a (kind, key) pair as an expression over the packs."""
     def lookup(pack):
-        rows = ", ".join(f"{fx.sql_text(r.pattern)}, {int(r.points)}" for r in packs.checked(pack))
+        rows = ", ".join(f"{fx.sql_text(r.pattern)}, {int(r.points)}" for r in packs.first_per_pattern(packs.checked(pack)))
         return f"coalesce(try_element_at(map({rows}), key), 0)" if rows else "0"
 
     return (f"CASE kind WHEN 'exec' THEN {lookup(exec_pack)} WHEN 'file' THEN {lookup(file_pack)} "

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import lzma
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions import packs
 from ..schemas import PACKAGE_FILE_SCHEMA
 
-ARCHIVES_PER_BATCH = 16
 TARBALL_SUFFIXES = (".tgz", ".tar.gz")
 SUFFIX_GLOB = "*{" + ",".join((*packs.SCANNABLE_SUFFIXES, "package.json")) + "}"
 
@@ -44,39 +45,63 @@ def read_package_files(spark: SparkSession, root: str, package: str | None = Non
         F.substring_index("inner", "/", 1).alias("package"), below.alias("path"), "content")
 
 
-def _members(data: bytes) -> Iterator[tuple[str, str]]:
-    """(path, text) of the regular files of one tarball, read from memory."""
-    with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as tar:
-        for member in tar:
-            if member.isfile():
+def _scannable(name: str) -> bool:
+    return name.endswith((*packs.SCANNABLE_SUFFIXES, "package.json"))
+
+
+def _unpacked(package: str, data: bytes) -> Iterator[tuple[str, str | None, str | None, str | None]]:
+    """(package, path, content, problem) rows of one tarball, one member in memory at a time.
+
+    npm archives hold everything below package/; others are taken whole.  A damaged or
+    shortened archive gives the members before the damage and a row with the problem.
+    """
+    try:
+        with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as tar:
+            below = "package/" if any([m.isfile() and m.name.removeprefix("./").startswith("package/") for m in tar]) else ""
+            # a whole archive ends with a block of zeros
+            tar.fileobj.seek(tar.offset)
+            if tar.fileobj.read(tarfile.BLOCKSIZE) != bytes(tarfile.BLOCKSIZE):
+                yield package, None, None, "ends early"
+            for member in tar:
                 name = member.name.removeprefix("./")
-                if name.endswith((*packs.SCANNABLE_SUFFIXES, "package.json")):
-                    yield name, tar.extractfile(member).read().decode("utf-8", errors="ignore")
+                if not _scannable(name) or not name.startswith(below):
+                    continue
+                if member.isfile():
+                    yield package, name.removeprefix(below), tar.extractfile(member).read().decode("utf-8", errors="ignore"), None
+                elif member.issym() or member.islnk():
+                    yield package, name.removeprefix(below), None, "link"
+    except (tarfile.TarError, EOFError, OSError, zlib.error, lzma.LZMAError) as e:
+        yield package, None, None, f"unreadable: {type(e).__name__}"
 
 
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["package", "path", "content", "problem"]
     for batch in batches:
         for package, data in zip(batch["package"], batch["content"]):
-            try:
-                rows = list(_members(data))
-            except (tarfile.TarError, EOFError, OSError):
-                continue  # an unreadable archive has no files
-            # npm archives hold everything below package/; others are taken whole
-            if any(name.startswith("package/") for name, _ in rows):
-                rows = [(n.removeprefix("package/"), t) for n, t in rows if n.startswith("package/")]
-            yield pd.DataFrame([(package, n, t) for n, t in rows], columns=["package", "path", "content"])
+            for row in _unpacked(package, data):
+                yield pd.DataFrame([row], columns=columns)
 
 
-def read_package_tarballs(spark: SparkSession, glob: str) -> DataFrame:
-    """Members of .tgz / .tar.gz archives; an archive is one package.
+def unpack_tarballs(spark: SparkSession, glob: str) -> DataFrame:
+    """Members of .tgz / .tar.gz archives with a ``problem`` where there is one; an archive is one package.
 
-    Archives are independent and limited in size by the registry, so each is
-    unpacked in the task that reads it, a few per Arrow batch.
+    Archives are independent and limited in size by the registry, so each is unpacked in
+    the task that reads it, member by member.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARCHIVES_PER_BATCH)
     archives = spark.read.format("binaryFile").load(glob)
     name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.(tgz|tar\.gz)$", "")
-    return archives.select(name.alias("package"), "content").mapInPandas(_unpack, PACKAGE_FILE_SCHEMA)
+    schema = "package string, path string, content string, problem string"
+    return archives.select(name.alias("package"), "content").mapInPandas(_unpack, schema)
+
+
+def read_package_tarballs(spark: SparkSession, glob: str) -> DataFrame:
+    """Readable members of the archives."""
+    return unpack_tarballs(spark, glob).filter("problem is null").drop("problem")
+
+
+def rejected_tarballs(spark: SparkSession, glob: str) -> DataFrame:
+    """(package, path, problem): damaged or shortened archives, and links that were not followed."""
+    return unpack_tarballs(spark, glob).filter("problem is not null").drop("content")
 
 
 def load_packages(spark: SparkSession, path: str, package: str | None = None) -> DataFrame:
