@@ -1,7 +1,7 @@
 """K-d tree sharding in DataFrame functions alone.
 
 A point is a distinct text with the bytes of all its copies as weight, so copies share a
-shard; a text heavier than ``PIECE`` of a shard is first cut into equal pieces by document.
+shard; a text whose copies outweigh ``PIECE`` of a shard is first cut into pieces by document.
 The tree starts with all points and the number of shards.  Each level takes, for every
 cell that holds more than one shard, the dimension in which the cell is widest and cuts it
 there at the weighted median (for an odd number of shards, at the matching quantile).
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, release
 
 ROW_BYTES = 16
-PIECE = 0.01
+PIECE = 0.02
 TOLERANCE = 0.002
 BINS = 1024
 #: Rows that one block of a shard holds on average.
@@ -105,19 +105,20 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         F.floor(F.log2(F.coalesce(F.length(text), F.lit(0)) + F.lit(1.0)) * 32768).cast("int").alias("m0"),
         F.when(F.col(source_col).isNull(), 0).otherwise(short_hash(source_col, 19)).cast("int").alias("m1"),
         F.when(F.col(lang_col).isNull(), 0).otherwise(short_hash(lang_col, 18)).cast("int").alias("m2")))
-    texts = rows.groupBy("t", "u").agg(F.sum("size").alias("weight"), F.array(F.min("m0"), F.min("m1"), F.min("m2")).alias("place"))
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
     piece = max(1.0, PIECE * (total["bytes"] or 0) / shards)
-    texts = cut_lineage(texts.withColumn("pieces", F.ceil(F.col("weight") / piece).cast("int")))
-    points = texts.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select(
-        "t", "u", "piece", "place", F.shiftrightunsigned(F.xxhash64("t", "u", "piece"), 64 - _HASH_BITS).alias("h"),
-        (F.col("weight") / F.col("pieces")).alias("weight"))
-    points = grow(points, 3, shards)
-
+    texts = rows.groupBy("t", "u").agg(F.sum("size").alias("weight"), F.count("*").alias("n"), F.array(F.min("m0"), F.min("m1"), F.min("m2")).alias("place"))
+    texts = cut_lineage(texts.withColumn("pieces", F.least(F.ceil(F.col("weight") / piece), "n").cast("int")))
     # texts of several pieces: at most shards / PIECE of them, as each outweighs a piece
-    heavy = texts.filter("pieces > 1").select("t", "u", "pieces")
-    placed = rows.join(F.broadcast(heavy), ["t", "u"], "left").withColumn(
-        "piece", F.coalesce(F.pmod(F.xxhash64("id", "crc"), F.col("pieces")), F.lit(0)).cast("int"))
+    heavy = F.broadcast(texts.filter("pieces > 1").select("t", "u", "pieces"))
+    pieced = rows.join(heavy, ["t", "u"], "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id", "crc"), F.col("pieces")), F.lit(0)).cast("int"))
+    parts = pieced.filter("pieces is not null").groupBy("t", "u", "piece").agg(F.sum("size").alias("weight"))
+    whole = texts.filter("pieces = 1").select("t", "u", F.lit(0).alias("piece"), "place", "weight")
+    cut = parts.join(F.broadcast(texts.filter("pieces > 1").select("t", "u", "place")), ["t", "u"]).select("t", "u", "piece", "place", "weight")
+    points = whole.unionByName(cut).withColumn("h", F.shiftrightunsigned(F.xxhash64("t", "u", "piece"), 64 - _HASH_BITS))
+    points = grow(points.withColumn("weight", F.col("weight").cast("double")), 3, shards)
+
+    placed = pieced
     blocks = max(1, -(-(total["rows"] or 0) // (shards * BLOCK_ROWS)))
     block = F.pmod(F.xxhash64(F.lit(7), "id", "crc"), F.lit(blocks)).cast("int")
     placed = cut_lineage(placed.join(points.select("t", "u", "piece", "cell"), ["t", "u", "piece"]).select(
