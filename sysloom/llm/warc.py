@@ -63,16 +63,22 @@ def _lines(*fields: tuple[str, Column]) -> Column:
     return F.concat_ws(CRLF, F.lit(f"{VERSION}1"), *[F.when(v.isNotNull(), F.concat(F.lit(f"{name}: "), v.cast("string"))) for name, v in fields], F.lit(CRLF))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """One record per page: the response with the smallest id of equal payloads, revisits of it for the others."""
+def write_archives(
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "gzip",
+) -> None:
+    """One record per page: the response with the smallest id of equal payloads, revisits of it for the others.
+
+    Compressed archives are read by one task each, uncompressed ones (``none``) are split.
+    """
     data = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), data.alias("data"))
     rows = rows.withColumns({"digest": sha1_base32(F.col("data")), "bytes": F.octet_length("data")})
-    firsts = rows.groupBy("digest", "bytes").agg(F.min("id").alias("first"))
-    rows = rows.join(firsts, ["digest", "bytes"])
+    # only payloads that occur again are joined, so pages without a copy need not move
+    firsts = rows.groupBy("digest", "bytes").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    rows = rows.join(firsts, ["digest", "bytes"], "left")
     name = lambda c: F.concat(F.lit(_URN), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
     angle = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
-    revisit = ~F.col("id").eqNullSafe(F.col("first"))
+    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     block = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(_HTTP), chunked(F.col("data")))).cast("binary")
     rows = rows.select("url", "digest", revisit.alias("revisit"), name("id").alias("name"), name("first").alias("to"), block.alias("block"))
     length = F.octet_length("block")
@@ -88,7 +94,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         ("WARC-Refers-To", F.when(F.col("revisit"), angle(F.col("to")))),
         ("WARC-Segment-Number", F.when(many, F.col("no"))), ("WARC-Segment-Origin-ID", F.when(many & later, angle(F.col("name")))),
         ("WARC-Segment-Total-Length", F.when(many & last, F.col("total"))), ("Content-Length", F.octet_length("part")))
-    rows.select(F.concat(header, F.col("part").cast("string"))).write.option("lineSep", CRLF + CRLF).text(path)
+    rows.select(F.concat(header, F.col("part").cast("string"))).write.option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
 
 
 def _field(name: str) -> Column:
