@@ -199,11 +199,11 @@ def _word_counts(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, vocabulary: list[str], max_docs: int = MAX_FIT_DOCS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities, learned from (text, lang)."""
+    """Languages and their piece probabilities, learned from (text, lang), sampled by ``id`` too if there is one."""
     usable = rows.filter("text is not null and lang is not null")
     share = max_docs / max(1, usable.count())
     if share < 1:
-        usable = usable.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        usable = usable.filter(F.pmod(F.xxhash64(*[c for c in ("id", "text") if c in usable.columns]), F.lit(1 << 30)) < int(share * (1 << 30)))
     counts = cut_lineage(_word_counts(usable))
     languages = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]
     size = len(vocabulary)
@@ -272,6 +272,7 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, vocabulary
 def identify(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_FIT_DOCS) -> DataFrame:
     """Learn from the rows of ``docs`` that are not held out, then predict all of them."""
     vocabulary = load_pieces(vocabulary_path)
-    train = docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    train = docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col)).select(
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     languages, model = fit(train, vocabulary, max_docs)
     return predict(docs, languages, model, vocabulary, text_col)

@@ -87,3 +87,11 @@ def test_query_on_held_out_documents(spark):
     assert len(rows) == 200 and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
     held = [r for r in rows if r.held_out and r.lang]
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+
+
+def test_copies_of_a_text_do_not_break_the_bound_of_the_sample(spark, monkeypatch):
+    rows = [(i, "the same words again", "en") for i in range(1000)]
+    docs, fitted, count = spark.createDataFrame(rows, "doc_id long, text string, lang string"), [], lid._word_counts
+    monkeypatch.setattr(lid, "_word_counts", lambda sample: fitted.append(sample.count()) or count(sample))
+    lid.identify(docs, vocabulary("piece_bpe_32k.model"), max_docs=100)
+    assert 50 <= fitted[0] <= 150
