@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import bpe, decontaminate, kdtree, language, passages, quality, simhash, sketch, toxicity, warc
+from . import bpe, decontaminate, exact, kdtree, language, lloyd, passages, quality, simhash, sketch, toxicity, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,24 @@ def op10_decontaminate(spark, d):
 
 
 SQL["op10_decontaminate"] = decontaminate.SQL
+
+
+@query
+def op11_lloyd(spark, d):
+    return lloyd.cluster(table(spark, d, "embeddings"), dimensions=64, clusters=40, rounds=5)
+
+
+SQL["op11_lloyd"] = lloyd.SQL
+
+
+@query
+def op12_exact(spark, d):
+    return exact.deduplicate(spark, f"{d}/documents.parquet")
+
+
+SQL["op12_exact"] = exact.SQL
+
+
+@query
+def op13_whitening(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"), keep=8)
