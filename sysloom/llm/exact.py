@@ -32,8 +32,11 @@ BATCH_BYTES = 64 << 30
 #: Digests with hits that are broadcast (a digest and a locator each); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 DIGEST_BYTES = 32
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, without the megabytes that each partition would set aside for files to come.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -58,15 +61,14 @@ def observe(
     docs = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", batch_bytes).parquet(files)
     state = _located(docs, id_col, text_col, key_bytes).groupBy("key").agg(
         F.count("*").alias("n"), F.max(F.struct("id", "file", "at")).alias("top"))
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in _STORE}
+    for key, value in _STORE.items():
+        spark.conf.set(key, value)
     try:
         stream = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     stream.awaitTermination()
 
 
