@@ -18,10 +18,10 @@ MAX_OFFSETS_PER_TRIGGER = 1_000_000
 def read_syscall_stream(spark: SparkSession, brokers: str | None = None, topic: str = DEFAULT_TOPIC,
                         starting: str = "latest", directory: str | None = None,
                         max_per_trigger: int = MAX_OFFSETS_PER_TRIGGER, max_files_per_trigger: int = 1_000) -> DataFrame:
-    """Live raw messages (seq, value): from Kafka, or from a directory of JSON lines."""
+    """Live raw messages (seq, value, arrived_at): from Kafka, or from a directory of JSON lines."""
     if directory is not None:
         raw = spark.readStream.option("maxFilesPerTrigger", max_files_per_trigger).text(directory)
-        return raw.select(F.lit(None).cast("long").alias("seq"), "value")
+        return raw.select(F.lit(None).cast("long").alias("seq"), "value", _written_at())
     raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic)
            .option("startingOffsets", starting).option("maxOffsetsPerTrigger", max_per_trigger).load())
     return _kafka_values(raw)
@@ -31,7 +31,7 @@ def read_syscall_history(spark: SparkSession, brokers: str | None = None, topic:
                          directory: str | None = None) -> DataFrame:
     """All messages of the topic so far, bounded; or a directory of JSON lines."""
     if directory is not None:
-        return spark.read.text(directory).select(F.lit(None).cast("long").alias("seq"), "value")
+        return spark.read.text(directory).select(F.lit(None).cast("long").alias("seq"), "value", _written_at())
     raw = (spark.read.format("kafka").option("kafka.bootstrap.servers", brokers).option("subscribe", topic)
            .option("startingOffsets", "earliest").option("endingOffsets", "latest").load())
     return _kafka_values(raw)
@@ -40,7 +40,12 @@ def read_syscall_history(spark: SparkSession, brokers: str | None = None, topic:
 def _kafka_values(raw: DataFrame) -> DataFrame:
     # arrival order is only defined inside a partition; a run has one key and
     # therefore one partition, so its offsets order its events
-    return raw.select(F.col("offset").alias("seq"), F.col("value").cast("string").alias("value"))
+    return raw.select(F.col("offset").alias("seq"), F.col("value").cast("string").alias("value"), F.col("timestamp").alias("arrived_at"))
+
+
+def _written_at() -> Column:
+    """A time of arrival that does not change when the file is read again."""
+    return F.col("_metadata.file_modification_time").alias("arrived_at")
 
 
 _TEXT_SCHEMA = StructType([StructField(n, StringType()) for n in EVENT_FIELDS] + [StructField("_bad", StringType())])
