@@ -1,7 +1,7 @@
 """Digests of a run for a reviewer (person or model), and the merge of answers.
 
 Digests are tables of lines ordered by their order columns; nothing is gathered
-per run before the prompt texts, which are built in bounded parts.  No model is
+per run before the prompt texts, which hold a fixed number of lines each.  No model is
 called here: answers come in as a table.
 """
 
@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import columns as fx
 from ..functions import packs
 from ..schemas import FINDING_TYPE
-from .parts import assign_parts
+from ..session import cut_lineage
+from .numbering import in_parts
 from .telemetry import filter_events
 
 PROCESS_LINES, FILE_LINES = 30, 50
-MAX_PROMPT_LINES = 20_000
+#: Digest lines of one prompt; a run with more has several prompts.
+PROMPT_LINES = 2_000
 NO_FINDINGS = "  (no findings from rule engine)"
 METHOD_RULES = "rules"
 METHOD_MODEL = "hybrid (rules + LLM)"
@@ -93,11 +95,12 @@ ANSWER_SHAPE = (
 CHAIN_SHAPE = ('Answer with one JSON object: {"executive_summary": two or three sentences, '
                '"attack_chain": ["Stage 1 ...", "Stage 2 ..."]}.')
 
-_HEAD, _FINDINGS, _PROCESSES, _FILES, _CONNECTIONS, _DELETIONS, _TASK = range(7)
+_FINDINGS, _PROCESSES, _FILES, _CONNECTIONS, _DELETIONS = range(5)
+_LINE_ORDER = ("section", "rank", "phase", "key", "ordinal", "line")
 
 
 def _sections(events: DataFrame, findings: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Digest lines with (section, bucket, order...) ahead of the text."""
+    """Digest lines with (section, order...) ahead of the text."""
     def rows(lines: DataFrame, section: int, rank=F.lit(0), phase=F.lit(0), key="seq", ordinal=F.lit(0)) -> DataFrame:
         return lines.select("detonation_id", F.lit(section).alias("section"), rank.cast("int").alias("rank"),
                             phase.cast("int").alias("phase"), F.col(key).cast("long").alias("key"),
@@ -111,36 +114,34 @@ def _sections(events: DataFrame, findings: DataFrame, verdicts: DataFrame) -> Da
         .unionByName(rows(connection_digest(events), _CONNECTIONS)).unionByName(rows(deletion_digest(events), _DELETIONS)))
 
 
-def _titles(verdicts: DataFrame, head: Column, task: str, extra: Column | None = None) -> DataFrame:
-    """Fixed lines of a prompt: the heading, one title per section, the task."""
-    c = F.col
-    titles = [
-        (_HEAD, head), (_FINDINGS, F.lit("# Findings of the rules")),
-        (_PROCESSES, _line("# Processes started (", c("execve_count"), " in total)")),
-        (_FILES, F.lit("# Files opened outside the install paths")),
-        (_CONNECTIONS, F.lit("# Connections")), (_DELETIONS, F.lit("# Deleted files")),
-        (_TASK, F.lit(task) if extra is None else F.concat(extra, F.lit("\n" + task))),
-    ]
-    lines = F.array(*[F.struct(F.lit(s).alias("section"), t.alias("line")) for s, t in titles])
-    return verdicts.select("detonation_id", F.explode(lines).alias("t")).select(
-        "detonation_id", "t.section", F.lit(-1).alias("rank"), F.lit(0).alias("phase"), F.lit(0).cast("long").alias("key"),
-        F.lit(0).cast("long").alias("ordinal"), "t.line")
-
-
-def _assemble(lines: DataFrame, limit: int) -> DataFrame:
-    """Texts per run.  A run of at most ``limit`` lines is one text; a larger one
-    comes in parts that hold at most 4,096 arrival positions each and read, by
-    ascending part_no, as the whole prompt."""
-    c = F.col
-    position = F.when(c("phase") == 2, c("key")).otherwise(F.shiftright("key", 12))
-    bucket = (c("section") * 32 + (c("rank") + 1) * 4 + c("phase")).cast("long") * F.lit(1 << 52) + position
-    parts = assign_parts(lines, ["detonation_id"], bucket, limit)
-    row = F.struct("section", "rank", "phase", "key", "ordinal", "line")
-    return parts.groupBy("detonation_id", "part_no").agg(F.array_sort(F.collect_list(row)).alias("rows")).select(
-        "detonation_id", "part_no", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("prompt"))
+def _prompts(events: DataFrame, findings: DataFrame, routed: DataFrame, head: Column, sections: list[tuple[Column, str]],
+             tail: Column, limit: int) -> DataFrame:
+    """(detonation_id, part_no, prompt): the next ``limit`` digest lines of a run between
+    heading, number of the part, the titles of all sections, and the task.
 
-
-def analysis_prompts(events: DataFrame, findings: DataFrame, verdicts: DataFrame, limit: int = MAX_PROMPT_LINES) -> DataFrame:
+    A section without lines in the whole run says so; one whose lines are in other parts has its title only.
+    """
+    ids = routed.select("detonation_id")
+    used = ("detonation_id", "seq", "event_type", "process_name", "filename", "pid", "connect_ip", "connect_port")
+    # the events of the routed runs are read once for all digests
+    mine = cut_lineage(events.filter(F.col("event_type").isin("EXECVE", "OPENAT", "CONNECT", "UNLINK")).select(*used).join(ids, "detonation_id", "left_semi"))
+    lines = _sections(mine, findings.join(ids, "detonation_id", "left_semi"), routed)
+    tallies = {f"_total{k}": F.col("section") == k for k in range(len(sections))}
+    parts = in_parts(lines, ["detonation_id"], _LINE_ORDER, limit, F.struct("section", "line"), tallies)
+    files = distinct_files(mine).groupBy("detonation_id").agg(F.count("*").alias("unique_files"))
+    rows = routed.join(parts, "detonation_id").join(files, "detonation_id", "left").withColumn("unique_files", F.coalesce("unique_files", F.lit(0)))
+
+    def section(k: int, title: Column, none: str) -> Column:
+        own = F.transform(F.filter("rows", lambda r: r["section"] == k), lambda r: r["line"])
+        text = F.when(F.col(f"_total{k}") == 0, F.lit(none)).when(F.size(own) > 0, F.array_join(own, "\n"))
+        return F.concat_ws("\n", title, text)
+
+    of = _line("Part ", F.col("part_no") + 1, " of ", F.ceil(F.col("rows_total") / limit))
+    text = F.concat_ws("\n", head, of, *[section(k, title, none) for k, (title, none) in enumerate(sections)], tail)
+    return rows.select("detonation_id", "part_no", text.alias("prompt"))
+
+
+def analysis_prompts(events: DataFrame, findings: DataFrame, verdicts: DataFrame, limit: int = PROMPT_LINES) -> DataFrame:
     """Prompts for the ambiguous runs (route ``llm``)."""
     routed = verdicts.filter(fx.triage_route("threat_score") == "llm")
     c = F.col
@@ -149,23 +150,23 @@ def analysis_prompts(events: DataFrame, findings: DataFrame, verdicts: DataFrame
         c("detonation_id"), "\nEvents: ", c("events_analyzed"), " (EXECVE ", c("execve_count"), ", OPENAT ", c("openat_count"),
         ", CONNECT ", c("connect_count"), ", WRITE ", c("write_count"), ", UNLINK ", c("unlink_count"), ")\nRule score: ",
         c("threat_score"), "/100")
-    return _prompts(events, findings, routed, head, ANSWER_SHAPE, None, limit)
+    sections = [
+        (F.lit("# Findings of the rules"), NO_FINDINGS),
+        (_line("# Processes started (", c("execve_count"), " in total)"), "  (none beyond npm and node)"),
+        (_line("# Files opened outside the install paths (", c("unique_files"), " unique)"), "  (none beyond the install paths)"),
+        (F.lit("# Connections"), "  (none)"), (F.lit("# Deleted files"), "  (none)")]
+    return _prompts(events, findings, routed, head, sections, F.lit(ANSWER_SHAPE), limit)
 
 
-def attack_chain_prompts(events: DataFrame, findings: DataFrame, verdicts: DataFrame, limit: int = MAX_PROMPT_LINES) -> DataFrame:
+def attack_chain_prompts(events: DataFrame, findings: DataFrame, verdicts: DataFrame, limit: int = PROMPT_LINES) -> DataFrame:
     """Prompts for the narrative of malicious runs; they add the write count."""
     routed = verdicts.filter(F.col("threat_score") >= packs.MALICIOUS_FROM)
     head = _line("Reconstruct the attack carried out by a malicious npm package.\nPackage: ", F.col("package_name"),
                  "\nThreat score: ", F.col("threat_score"), "/100")
-    writes = _line("# Writes: ", F.col("write_count"))
-    return _prompts(events, findings, routed, head, CHAIN_SHAPE, writes, limit)
-
-
-def _prompts(events, findings, routed, head, task, extra, limit) -> DataFrame:
-    ids = routed.select("detonation_id")
-    mine = lambda df: df.join(ids, "detonation_id", "left_semi")
-    lines = _titles(routed, head, task, extra).unionByName(_sections(mine(events), mine(findings), routed))
-    return _assemble(lines, limit)
+    titles = ("# Findings of the rules", "# Processes started", "# Files opened outside the install paths", "# Connections", "# Deleted files")
+    sections = [(F.lit(t), NO_FINDINGS if k == _FINDINGS else "  (none)") for k, t in enumerate(titles)]
+    tail = _line("# Writes: ", F.col("write_count"), "\n" + CHAIN_SHAPE)
+    return _prompts(events, findings, routed, head, sections, tail, limit)
 
 
 # ---------------------------------------------------------------- answers

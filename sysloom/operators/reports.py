@@ -9,9 +9,10 @@ from ..functions import columns as fx
 from ..functions import packs
 from ..schemas import COUNT_FIELDS, FINDING_FIELDS, REPORT_SCHEMA
 from . import rules
-from .parts import assign_parts
+from .numbering import in_parts
 
-MAX_DOCUMENT_FINDINGS = 10_000
+#: Findings of one document; a report with more has several.
+DOCUMENT_FINDINGS = 10_000
 ORDER = ("severity_rank", "phase", "order_key", "ordinal")
 
 
@@ -22,16 +23,12 @@ def order_findings(found: DataFrame) -> DataFrame:
 
 
 def report_documents(verdicts: DataFrame, found: DataFrame, analyzed_at: Column | None = None,
-                     limit: int = MAX_DOCUMENT_FINDINGS) -> DataFrame:
-    """Nested report documents.  A run with more than ``limit`` findings becomes
-    several documents (part_no ascending) that together hold all of them."""
-    rank, phase, key = F.col("severity_rank"), F.col("phase"), F.col("order_key")
-    position = F.when(phase == rules.PHASE_CONNECTION, key).otherwise(F.shiftright("order_key", 12))
-    bucket = ((rank * 4 + phase).cast("long") + 1) * F.lit(1 << 52) + position
-    parts = assign_parts(found, ["detonation_id"], bucket, limit)
-    nested = parts.groupBy("detonation_id", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct(*ORDER, "kind", "key", F.struct(*FINDING_FIELDS).alias("finding")))).alias("rows"))
-    nested = nested.select("detonation_id", "part_no", F.transform("rows", lambda r: r["finding"]).alias("findings"))
+                     limit: int = DOCUMENT_FINDINGS) -> DataFrame:
+    """Nested report documents, each with the next ``limit`` findings of its run in
+    report order (part_no ascending); a run without findings has one empty document."""
+    order = [*ORDER, "kind", "key"]
+    parts = in_parts(found.select("detonation_id", *order, *FINDING_FIELDS), ["detonation_id"], order, limit, F.struct(*FINDING_FIELDS))
+    nested = parts.select("detonation_id", "part_no", F.col("rows").alias("findings"))
     empty = F.array().cast(REPORT_SCHEMA["findings"].dataType)
     docs = verdicts.join(nested, "detonation_id", "left")
     return as_reports(docs.withColumn("findings", F.coalesce("findings", empty)).withColumn(
@@ -62,6 +59,13 @@ def report_index(reports: DataFrame) -> DataFrame:
                         number("events_analyzed"), "findings").orderBy(F.desc_nulls_last("analyzed_at"), "report_id")
 
 
+def verdict_index(verdicts: DataFrame, analyzed_at: Column) -> DataFrame:
+    """The same index straight from the verdicts, which count their findings: no document is built."""
+    return verdicts.select(
+        fx.report_id("detonation_id").alias("report_id"), "package_name", "threat_score", "risk_level", analyzed_at.alias("analyzed_at"),
+        "events_analyzed", F.col("finding_count").alias("findings")).orderBy(F.desc_nulls_last("analyzed_at"), "report_id")
+
+
 def requested_id(request: Column | str) -> Column:
     """Report id of a requested path: base name, with or without .json."""
     name = fx.basename(request)
@@ -74,6 +78,12 @@ def report_by_id(reports: DataFrame, requests: DataFrame, column: str = "request
     return reports.join(wanted, "report_id", "left_semi")
 
 
+def requested_runs(runs: DataFrame, requests: DataFrame, column: str = "request") -> DataFrame:
+    """The rows of ``runs`` whose report is asked for, to narrow the input before documents are built."""
+    wanted = requests.select(requested_id(column).alias("_wanted")).distinct()
+    return runs.join(wanted, fx.report_id("detonation_id") == F.col("_wanted"), "left_semi")
+
+
 def run_forensics(events: DataFrame, runs: DataFrame) -> DataFrame:
     """Run report as numbers: duration, log size, counts, lists' sizes.  One pass
     over the events; the join with the runs is one row per run."""

@@ -48,6 +48,9 @@ CUSTOM_RULES = (
 )
 
 
+MAX_PID = 1500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -208,6 +211,17 @@ def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("mnt-"), (i % 50).cast("string")).alias("mnt_ns"))
 
 
+def host_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5 with a fork tree of its own per host, over the same ids."""
+    return processes(spark, sf_dir).selectExpr(
+        "host", "pid div 2 AS pid", "CASE WHEN pid div 2 > 0 THEN (pid div 2 - 1) div 3 END AS ppid", "fork_ts", "exec_file")
+
+
+def reused_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with ids that wrap around, as a kernel's do."""
+    return host_processes(spark, sf_dir).selectExpr("host", f"pid % {MAX_PID} AS pid", f"ppid % {MAX_PID} AS ppid", "fork_ts", "exec_file")
+
+
 def run_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V8: start, end, success and log text per run; m is the run's first event."""
     r = syscalls(spark, sf_dir).groupBy("detonation_id").agg(

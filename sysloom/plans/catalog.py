@@ -6,6 +6,7 @@ compare value by value with another engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +18,17 @@ from ..functions import packs
 from ..operators import (
     dependencies, lineage, narrative, registry, reports, rules, sessions, static_scan, telemetry,
 )
-from ..session import configure, cut_lineage
+from ..session import configure, cut_lineage, scratch_folder
 from ..sources import raw_records, syscalls
+from ..streaming import verdicts as stream
 from . import adapters as a
 
 Query = Callable[[SparkSession, str], DataFrame]
 SESSION_GAP_SECONDS = 6 * 3600
 CAPTURE_SECONDS = 2 * 86_400
+STREAM_DELAY_SECONDS = 86_400
 LIMIT = 3
+PART_LINES, PART_FINDINGS = 7, 2
 _QUERIES: dict[str, Query] = {}
 
 
@@ -393,12 +397,12 @@ def dependency_risk(spark, d):
 # ------------------------------------------------------------ lineage
 @query
 def marker_roots(spark, d):
-    return lineage.marker_roots(a.processes(spark, d))
+    return lineage.marker_roots(a.processes(spark, d), [])
 
 
 def _tracked(spark, d, strict_time=False):
     p = a.processes(spark, d)
-    return lineage.descendant_pids(p, lineage.marker_roots(p), strict_time=strict_time)
+    return lineage.descendant_pids(p, lineage.marker_roots(p, []), [], strict_time)
 
 
 @query
@@ -411,10 +415,24 @@ def descendant_pids_strict(spark, d):
     return _tracked(spark, d, strict_time=True)
 
 
+@query
+def descendant_pids_by_host(spark, d):
+    """Two hosts with the same process ids."""
+    p = a.host_processes(spark, d)
+    return lineage.descendant_pids(p, lineage.marker_roots(p, ["host"]), ["host"])
+
+
+@query
+def descendant_pids_reused(spark, d):
+    """Every process id is used again and again."""
+    p = a.reused_processes(spark, d)
+    return lineage.descendant_pids(p, lineage.marker_roots(p, ["host"]), ["host"], strict_time=True)
+
+
 @query
 def scoped_events(spark, d):
     p = a.processes(spark, d)
-    return lineage.scope_events(p, _tracked(spark, d)).select("pid", "host", "exec_file")
+    return lineage.scope_events(p, _tracked(spark, d), []).select("pid", "host", "exec_file")
 
 
 @query
@@ -425,7 +443,7 @@ def tracked_pid_count(spark, d):
 
 @query
 def attributed_events(spark, d):
-    return lineage.attribute_containers(a.syscalls(spark, d), a.cgroup_lines(spark, d)).select("seq", "pid", "container_id")
+    return lineage.attribute_containers(a.syscalls(spark, d), a.cgroup_lines(spark, d), []).select("seq", "pid", "container_id")
 
 
 @query
@@ -471,6 +489,13 @@ def analysis_prompts(spark, d):
     return narrative.analysis_prompts(v, cut_lineage(rules.findings(v)), cut_lineage(rules.verdicts(v)))
 
 
+@query
+def analysis_prompt_parts(spark, d):
+    """The same prompts with few lines each."""
+    v = a.syscalls(spark, d)
+    return narrative.analysis_prompts(v, cut_lineage(rules.findings(v)), cut_lineage(rules.verdicts(v)), PART_LINES)
+
+
 @query
 def attack_chain_prompts(spark, d):
     v = a.syscalls(spark, d)
@@ -504,16 +529,35 @@ def top_processes(spark, d):
     return telemetry.top_processes(a.syscalls(spark, d, by_user=True), 15).select("detonation_id", "position", "pid", "process_name", "filename", "more")
 
 
-def _reports(spark, d):
+def _scored(spark, d):
     v = a.syscalls(spark, d)
     ended = v.groupBy("detonation_id").agg(F.max("captured_at").alias("ended_at"))
-    scored = rules.verdicts(v).join(ended, "detonation_id")
-    return reports.report_documents(scored, rules.findings(v), analyzed_at=F.col("ended_at"))
+    return v, rules.verdicts(v).join(ended, "detonation_id")
+
+
+def _reports(spark, d, **options):
+    v, scored = _scored(spark, d)
+    return reports.report_documents(scored, rules.findings(v), analyzed_at=F.col("ended_at"), **options)
 
 
 @query
 def report_index(spark, d):
-    return reports.report_index(_reports(spark, d))
+    return reports.verdict_index(_scored(spark, d)[1], F.col("ended_at"))
+
+
+@query
+def document_index(spark, d):
+    """The index of written documents, whose parts are added up."""
+    return reports.report_index(_reports(spark, d, limit=PART_FINDINGS))
+
+
+@query
+def report_parts(spark, d):
+    """Documents of few findings each: sizes, and the ends of every part."""
+    docs = _reports(spark, d, limit=PART_FINDINGS)
+    end = lambda k, f: F.try_element_at("findings", F.lit(k))[f]
+    return docs.select("report_id", "part_no", F.size("findings").alias("findings"), end(1, "evidence").alias("first_evidence"),
+                       end(-1, "evidence").alias("last_evidence"), end(-1, "severity").alias("last_severity"), "threat_score", "events_analyzed")
 
 
 @query
@@ -528,7 +572,9 @@ def report_by_id(spark, d):
     users = a.table(spark, d, "events").select("user_id").distinct()
     wanted = users.select(F.concat(F.lit("api/reports/det-"), F.col("user_id").cast("string"), F.lit("-2"),
                                    F.when(F.col("user_id") % 2 == 0, ".json").otherwise("")).alias("request"))
-    return reports.report_by_id(_reports(spark, d), wanted).select("report_id", "package_name", "threat_score", "risk_level")
+    v = reports.requested_runs(a.syscalls(spark, d), wanted)
+    docs = reports.report_documents(rules.verdicts(v), rules.findings(v), F.lit(a.AS_OF).cast("timestamp"))
+    return reports.report_by_id(docs, wanted).select("report_id", "package_name", "threat_score", "risk_level")
 
 
 @query
@@ -552,6 +598,34 @@ def session_verdicts(spark, d):
         "detonation_id", "session_start", "threat_score", "events_analyzed", "finding_count")
 
 
+def _streamed(spark, d, close_all):
+    """The events in three batches that are dealt out by hash, so most come late."""
+    v = a.syscalls(spark, d, by_user=True)
+    tables = stream.VerdictTables.under(spark, f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}")
+    for version in range(3):
+        batch = v.filter(F.pmod(F.xxhash64("detonation_id", "seq"), F.lit(3)) == version)
+        stream.advance(tables, version, batch, gap_seconds=SESSION_GAP_SECONDS, delay_seconds=STREAM_DELAY_SECONDS,
+                       analyzed_at=F.lit(a.AS_OF).cast("timestamp"), close_all=close_all and version == 2)
+    return tables
+
+
+@query
+def streamed_sessions(spark, d):
+    return stream.closed_sessions(_streamed(spark, d, True))
+
+
+@query
+def active_sessions(spark, d):
+    return stream.active_sessions(_streamed(spark, d, False))
+
+
+@query
+def streamed_reports(spark, d):
+    docs = stream.current_reports(_streamed(spark, d, True))
+    return docs.groupBy("detonation_id", "session_start", "threat_score", "events_analyzed").agg(
+        F.sum(F.size("findings")).alias("finding_count"))
+
+
 @query
 def windowed_events(spark, d):
     return telemetry.detonation_window(a.syscalls(spark, d), a.run_bounds(spark, d), CAPTURE_SECONDS).select("detonation_id", "seq", "event_type")

@@ -4,6 +4,7 @@ independently of the Spark plans (joins and windows instead of expressions)."""
 from __future__ import annotations
 
 from ..functions import packs
+from ..operators import narrative
 from . import adapters as a
 from . import adapter_sql as s
 
@@ -374,12 +375,83 @@ def _session_runs() -> tuple[str, str]:
  threat_score, events_analyzed, finding_count FROM scored_s"""
 
 
+VIEWS["host_procs"] = (("procs",), """
+SELECT host, pid // 2 AS pid, CASE WHEN pid // 2 > 0 THEN (pid // 2 - 1) // 3 END AS ppid, fork_ts, exec_file FROM procs""")
+VIEWS["reused_procs"] = (("host_procs",), f"SELECT host, pid % {a.MAX_PID} AS pid, ppid % {a.MAX_PID} AS ppid, fork_ts, exec_file FROM host_procs")
+for _view in ("host", "reused"):
+    VIEWS[f"{_view}_roots"] = ((f"{_view}_procs",), f"""
+SELECT host, ppid AS pid, min(fork_ts) AS since FROM {_view}_procs WHERE exec_file = '{packs.MARKER_FILE}' AND ppid IS NOT NULL GROUP BY host, ppid""")
+    # a breadth-first walk over ids; a row per id and time of a fork
+    VIEWS[f"{_view}_walk"] = ((f"{_view}_procs", f"{_view}_roots"), f"""
+SELECT host, pid, since FROM {_view}_roots
+UNION SELECT p.host, p.pid, p.fork_ts FROM {_view}_walk w JOIN {_view}_procs p ON p.host = w.host AND p.ppid = w.pid{' AND p.fork_ts >= w.since' if _view == 'reused' else ''}""")
+    RECURSIVE.add(f"{_view}_walk")
+    SQL[f"descendant_pids_{'by_host' if _view == 'host' else 'reused'}"] = (
+        (f"{_view}_walk",), f"SELECT host, pid, epoch_us(min(since)) AS since FROM {_view}_walk GROUP BY host, pid")
+
+_LAST = """SELECT split_part(detonation_id, '@', 1) AS run, CAST(split_part(detonation_id, '@', 2) AS BIGINT) AS session_start, * EXCLUDE (session_start) FROM
+ (SELECT *, 0 AS session_start FROM scored_s) QUALIFY row_number() OVER (PARTITION BY split_part(detonation_id, '@', 1) ORDER BY CAST(split_part(detonation_id, '@', 2) AS BIGINT) DESC) = 1"""
+SQL["streamed_sessions"] = SQL["session_list"]
+SQL["active_sessions"] = (("sess", "v1u"), SQL["session_list"][1] + """
+ WHERE session_last + INTERVAL 6 HOUR >= (SELECT max(captured_at) FROM v1u) - INTERVAL 1 DAY""")
+
+
+def _parts_of_reports(size: int) -> str:
+    return f"""SELECT s.detonation_id AS report_id, CAST(coalesce(part_no, 0) AS BIGINT) AS part_no, coalesce(findings, 0) AS findings,
+ first_evidence, last_evidence, last_severity, threat_score, events_analyzed FROM scored s LEFT JOIN
+ (SELECT detonation_id, rn // {size} AS part_no, count(*) AS findings, arg_min(evidence, rn) AS first_evidence, arg_max(evidence, rn) AS last_evidence, arg_max(severity, rn) AS last_severity
+  FROM (SELECT *, row_number() OVER (PARTITION BY detonation_id ORDER BY severity_rank, phase, order_key, ordinal, kind, key) - 1 AS rn FROM {_DOCS}) GROUP BY ALL) p USING (detonation_id)"""
+
+
+SQL["report_parts"] = (("scored", "found"), _parts_of_reports(2))
+SQL["document_index"] = SQL["report_index"]
+
+VIEWS["file_keys_1"] = (("v1",), _FILE_KEYS.replace("v1u", "v1"))
+VIEWS["prompt_lines"] = (("found", "scored", "process_keys", "file_keys_1", "v1"), f"""
+SELECT detonation_id, 0 AS section, {RANK} AS rank, phase, order_key AS key, ordinal, '  - [' || severity || '] [' || mitre_id || '] ' || description || ': ' || evidence AS line FROM found
+UNION ALL SELECT detonation_id, 0, 0, 0, 0, 0, '  (no findings from rule engine)' FROM scored WHERE finding_count = 0
+UNION ALL SELECT detonation_id, 1, 0, 0, seq, 0, '  - ' || process_name || ' executed: ' || filename || ' (PID=' || pid || ')' FROM process_keys
+ QUALIFY row_number() OVER (PARTITION BY detonation_id ORDER BY seq) <= 30
+UNION ALL SELECT detonation_id, 2, 0, 0, seq, 0, '  - ' || process_name || ' accessed: ' || filename FROM file_keys_1
+ QUALIFY row_number() OVER (PARTITION BY detonation_id ORDER BY seq) <= 50
+UNION ALL SELECT detonation_id, 3, 0, 0, seq, 0, '  - ' || process_name || ' → ' || {IP} || ':' || connect_port FROM v1 WHERE event_type='CONNECT'
+UNION ALL SELECT detonation_id, 4, 0, 0, seq, 0, '  - ' || process_name || ' deleted: ' || filename FROM v1 WHERE event_type='UNLINK' AND filename <> ''""")
+
+
+def _prompts(where: str, head: str, titles: tuple[str, ...], none: tuple[str, ...], tail: str, size: int) -> str:
+    sections = ", ".join(
+        f"concat_ws(chr(10), {title}, CASE WHEN total{k} = 0 THEN {t(none[k])} ELSE text{k} END)" for k, title in enumerate(titles))
+    totals = ", ".join(f"count(*) FILTER (WHERE section = {k}) OVER (PARTITION BY detonation_id) AS total{k}" for k in range(5))
+    texts = ", ".join(f"string_agg(line, chr(10) ORDER BY rn) FILTER (WHERE section = {k}) AS text{k}, any_value(total{k}) AS total{k}" for k in range(5))
+    return f"""SELECT detonation_id, part_no, concat_ws(chr(10), {head}, 'Part ' || (part_no + 1) || ' of ' || ((n + {size} - 1) // {size}), {sections}, {tail}) AS prompt
+FROM (SELECT * FROM scored WHERE {where}) s JOIN
+ (SELECT detonation_id, rn // {size} AS part_no, any_value(n) AS n, {texts} FROM
+  (SELECT *, row_number() OVER (PARTITION BY detonation_id ORDER BY section, rank, phase, key, ordinal, line) - 1 AS rn,
+   count(*) OVER (PARTITION BY detonation_id) AS n, {totals} FROM prompt_lines) GROUP BY detonation_id, rn // {size}) p USING (detonation_id)
+LEFT JOIN (SELECT detonation_id, count(*) AS files FROM file_keys_1 GROUP BY detonation_id) f USING (detonation_id)"""
+
+
+_COUNTED = """'Judge an npm package by what its installation did in a sandbox.' || chr(10) || 'Package: ' || package_name || chr(10) || 'Run: ' || detonation_id
+ || chr(10) || 'Events: ' || events_analyzed || ' (EXECVE ' || execve_count || ', OPENAT ' || openat_count || ', CONNECT ' || connect_count || ', WRITE ' || write_count
+ || ', UNLINK ' || unlink_count || ')' || chr(10) || 'Rule score: ' || threat_score || '/100'"""
+_TITLES = ("'# Findings of the rules'", "'# Processes started (' || execve_count || ' in total)'",
+           "'# Files opened outside the install paths (' || coalesce(files, 0) || ' unique)'", "'# Connections'", "'# Deleted files'")
+_NONE = ("  (no findings from rule engine)", "  (none beyond npm and node)", "  (none beyond the install paths)", "  (none)", "  (none)")
+_CHAIN_TITLES = ("'# Findings of the rules'", "'# Processes started'", "'# Files opened outside the install paths'", "'# Connections'", "'# Deleted files'")
+_PROMPT_VIEWS = ("scored", "prompt_lines", "file_keys_1")
+for _name, _size in (("analysis_prompts", 2000), ("analysis_prompt_parts", 7)):
+    SQL[_name] = (_PROMPT_VIEWS, _prompts("threat_score BETWEEN 11 AND 59", _COUNTED, _TITLES, _NONE, t(narrative.ANSWER_SHAPE), _size))
+SQL["attack_chain_prompts"] = (_PROMPT_VIEWS, _prompts(
+    "threat_score >= 60", "'Reconstruct the attack carried out by a malicious npm package.' || chr(10) || 'Package: ' || package_name || chr(10) || 'Threat score: ' || threat_score || '/100'",
+    _CHAIN_TITLES, (_NONE[0], *["  (none)"] * 4), "'# Writes: ' || write_count || chr(10) || " + t(narrative.CHAIN_SHAPE), 2000))
+
 VIEWS["v1s"] = (("v1u", "sess"), _session_runs()[0])
 VIEWS["hits_s"] = (("v1s", "exec_rules", "file_rules"), _hits("v1s"))
 VIEWS["bursts_s"] = (("v1s",), _bursts("v1s"))
 VIEWS["found_s"] = (("hits_s", "bursts_s"), _found("hits_s", "bursts_s"))
 VIEWS["scored_s"] = (("v1s", "found_s"), _verdicts("v1s", "found_s"))
 SQL["session_verdicts"] = (("scored_s",), _session_runs()[1])
+SQL["streamed_reports"] = (("scored_s",), f"""SELECT run AS detonation_id, session_start, threat_score, events_analyzed, finding_count FROM ({_LAST})""")
 
 
 def _with(names: tuple[str, ...]) -> list[str]:

@@ -1,12 +1,14 @@
 """Digests, prompts, answers and registry merge."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sysloom.functions import packs
 from sysloom.operators import narrative, registry, rules
+from sysloom.operators.numbering import number_rows
 
 VERDICT = ("detonation_id string, package_name string, threat_score long, risk_level string, recommendation string, "
            "analysis_method string, finding_count long")
@@ -81,13 +83,54 @@ def test_prompts(events):
     assert narrative.attack_chain_prompts(v, rules.findings(v), rules.verdicts(v)).count() == 0
 
 
-def test_large_prompts_come_in_whole_parts(events):
-    v = run_of(events, 5_000)
+def body(prompt):
+    """Lines by section title."""
+    out, title = {}, None
+    for line in prompt.split("\n"):
+        if line.startswith("# "):
+            title = line
+        elif title and line.startswith("  - "):
+            out.setdefault(title, []).append(line)
+    return out
+
+
+def test_large_prompts_come_in_parts_of_fixed_size(events):
+    v = run_of(events, 450)
     found, scored = rules.findings(v), rules.verdicts(v)
-    whole = narrative.analysis_prompts(v, found, scored).collect()
-    parts = narrative.analysis_prompts(v, found, scored, limit=100).orderBy("part_no").collect()
-    assert len(whole) == 1 and len(parts) > 2
-    assert "\n".join(p.prompt for p in parts) == whole[0].prompt
+    whole = body(narrative.analysis_prompts(v, found, scored).first().prompt)
+    parts = [r.prompt for r in narrative.analysis_prompts(v, found, scored, limit=100).orderBy("part_no").collect()]
+    n = sum(map(len, whole.values()))
+    assert len(parts) == -(-n // 100)
+    joined = {}
+    for k, part in enumerate(parts):
+        assert f"Part {k + 1} of {len(parts)}" in part and part.startswith("Judge") and part.endswith(narrative.ANSWER_SHAPE)
+        assert all(title in part for title in whole) and part.count("  (none)") == 1 and part.count("  (none beyond") == 1
+        sections = body(part)
+        assert sum(map(len, sections.values())) == (100 if k < len(parts) - 1 else n - 100 * k)
+        for title, lines in sections.items():
+            joined[title] = joined.get(title, []) + lines
+    assert joined == whole
+
+
+def test_empty_sections_and_unique_files(events):
+    v = events([("OPENAT", "sh", "/x/.ssh/id_rsa"), ("OPENAT", "cat", "/x/.ssh/id_rsa"), ("OPENAT", "sh", "/data/a")])
+    text = narrative.analysis_prompts(v, rules.findings(v), rules.verdicts(v)).first().prompt
+    assert "install paths (2 unique)" in text and "  (none beyond npm and node)" in text and text.count("\n  (none)") == 2
+
+
+def test_rows_are_numbered_exactly(spark):
+    rnd = random.Random(1)
+    # one key holds most rows, order values are dense in places, sparse in others, and repeat
+    rows = [("hot", rnd.choice([i, i * 10**9, 7]), i) for i in range(3000)] + [(f"k{i % 50}", i, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, o long, u long")
+    got = {(r.k, r.u): (r.row_no, r.rows_total, r.even) for r in number_rows(df, ["k"], ["o", "u"], {"even": F.col("u") % 2 == 0}).collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2]) for r in rows if r[0] == key)
+        for no, (_, u) in enumerate(mine):
+            want[key, u] = (no, len(mine), sum(x[1] % 2 == 0 for x in mine))
+    assert got == want
+    assert number_rows(df.limit(0), ["k"], ["o"]).count() == 0
 
 
 def registry_table(spark, names):
