@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,13 +26,28 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    A session without that setting uses a folder in its warehouse, which the driver and
-    the executors share as well; a machine-local temporary folder is never used.
+    A session without that setting uses a folder in its warehouse.  On a cluster that must be a
+    shared one as well: a path on the driver's machine is refused unless the master is local.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
+        on_one_machine = spark.sparkContext.master.split("[")[0] == "local"
+        if not on_one_machine and (shared.startswith("file:") or shared.startswith("/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return shared.rstrip("/") + "/" + SCRATCH
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Delete the shuffle files that no live DataFrame needs, after a large step has been written.
+
+    Spark's cleaner removes them once the driver has collected its garbage, which a driver with
+    much free memory may not do for a long time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
