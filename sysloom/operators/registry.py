@@ -2,7 +2,8 @@
 
 Input: a snapshot table (package_name, status ok/error/missing, latest_version,
 version_count, latest_published, weekly_downloads, maintainers).  All signals
-are row-local; nothing is shuffled except the optional large-list typosquat join.
+are row-local.  The list of popular names is either a pack, compared in the row, or a
+table of any size, which is joined on shared deletion variants; the caller chooses.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ NEW_DAYS, RECENT_DAYS = 7, 30
 FEW_DOWNLOADS, LOW_DOWNLOADS = 100, 1000
 MAX_DISTANCE = 2
 STRONG_POINTS, MEDIUM_POINTS = 5, 2
-# Above this many names the comparison is a join on shared deletion variants.
-INLINE_NAMES = 200
 
 
 def age_days(as_of: Column) -> Column:
@@ -87,32 +86,38 @@ def deletion_variants(name: Column) -> Column:
     return F.array_distinct(F.concat(F.array(name), once, F.flatten(F.transform(once, shorter))))
 
 
-def _nearest_by_join(packages: DataFrame, popular: Sequence[str]) -> DataFrame:
-    names = packages.select("package_name").distinct()
-    known = names.sparkSession.createDataFrame([(p,) for p in popular], "target string")
-    names = names.join(known, F.col("package_name") == F.col("target"), "left_anti")
-    # longer names have no popular one within reach, and very many variants
-    names = names.filter(F.length("package_name") <= max(map(len, popular), default=0) + MAX_DISTANCE)
+def nearest_in_table(packages: DataFrame, known: DataFrame) -> DataFrame:
+    """(package_name, nearest) of the packages that are within two edits of a name in
+    ``known``, a table with the column ``name``, and not in it themselves."""
+    known = known.filter(F.col("name").isNotNull()).select(F.col("name").alias("target")).distinct()
+    names = packages.select("package_name").distinct().join(known, F.col("package_name") == F.col("target"), "left_anti")
+    # longer names have no known one within reach, and very many variants
+    longest = known.agg(F.max(F.length("target"))).first()[0] or 0
+    names = names.filter(F.length("package_name") <= longest + MAX_DISTANCE)
     left = names.select("package_name", F.explode(deletion_variants(F.lower("package_name"))).alias("variant"))
     right = known.select("target", F.explode(deletion_variants(F.lower("target"))).alias("variant"))
     pairs = left.join(right, "variant").select("package_name", "target").distinct()
     distance = F.levenshtein(F.lower("package_name"), F.lower("target"), MAX_DISTANCE)
     near = pairs.withColumn("distance", distance).filter(F.col("distance") > 0)
-    best = near.groupBy("package_name").agg(F.min(F.struct("distance", "target")).alias("nearest"))
-    return packages.join(best, "package_name")
+    return near.groupBy("package_name").agg(F.min(F.struct("distance", "target")).alias("nearest"))
 
 
-def typosquat_candidates(registry: DataFrame, popular: Sequence[str] = packs.POPULAR_PACKAGES) -> DataFrame:
+def with_nearest(registry: DataFrame, popular: Sequence[str] | DataFrame) -> DataFrame:
+    """``registry`` with ``nearest``, null where the package is not usable or not close to a name."""
+    ok = F.col("status") == "ok"
+    if isinstance(popular, DataFrame):
+        return registry.join(nearest_in_table(usable(registry), popular), "package_name", "left").withColumn("nearest", F.when(ok, F.col("nearest")))
+    # a generated column is not computed again where it is used or filtered
+    return registry.select("*", fx.once(F.when(ok, nearest_popular(F.col("package_name"), popular))).alias("nearest"))
+
+
+def typosquat_candidates(registry: DataFrame, popular: Sequence[str] | DataFrame = packs.POPULAR_PACKAGES) -> DataFrame:
     """Packages within two edits of a popular name, with the nearest one
     (ties: alphabetical).  Members of the list itself are never flagged."""
-    if len(popular) <= INLINE_NAMES:
-        # generated rows are filtered after the fact: a filter on the column itself
-        # would be pushed down and the distances computed twice
-        near = nearest_popular(F.col("package_name"), popular)
-        found = usable(registry).select("registry_key", "package_name", F.explode_outer(F.array(near)).alias("nearest"))
-        found = found.filter(F.col("nearest").isNotNull())
+    if isinstance(popular, DataFrame):
+        found = usable(registry).join(nearest_in_table(usable(registry), popular), "package_name")
     else:
-        found = _nearest_by_join(usable(registry), popular)
+        found = with_nearest(usable(registry).select("registry_key", "package_name", "status"), popular).filter(F.col("nearest").isNotNull())
     return found.select("registry_key", "package_name", F.col("nearest.target").alias("target"),
                         F.col("nearest.distance").cast("long").alias("distance"))
 
@@ -121,20 +126,20 @@ def not_in_registry(registry: DataFrame) -> DataFrame:
     return registry.filter(F.col("status") == "error").select("registry_key", "package_name", F.lit("MEDIUM").alias("severity"))
 
 
-def registry_summary(registry: DataFrame, as_of: Column, popular: Sequence[str] = packs.POPULAR_PACKAGES) -> DataFrame:
+def registry_summary(registry: DataFrame, as_of: Column, popular: Sequence[str] | DataFrame = packs.POPULAR_PACKAGES) -> DataFrame:
     ok = F.col("status") == "ok"
     known = lambda c: F.when(ok, c)
-    return registry.select(
+    return with_nearest(registry, popular).select(
         "registry_key", "package_name", ok.alias("available"),
         known(F.coalesce("latest_version", F.lit("unknown"))).alias("latest_version"),
         known(F.col("version_count")).alias("total_versions"),
         known(F.size("maintainers").cast("long")).alias("maintainers"),
         known(F.array_join(F.transform(F.slice("maintainers", 1, 5), lambda m: F.coalesce(m, F.lit("?"))), ",")).alias("maintainer_names"),
         known(age_days(as_of)).alias("age_days"), known(F.col("weekly_downloads")).alias("weekly_downloads"),
-        known(nearest_popular(F.col("package_name"), popular)["target"]).alias("typosquat_target"))
+        F.col("nearest.target").alias("typosquat_target"))
 
 
-def metadata_findings(registry: DataFrame, as_of: Column, popular: Sequence[str] = packs.POPULAR_PACKAGES) -> DataFrame:
+def metadata_findings(registry: DataFrame, as_of: Column, popular: Sequence[str] | DataFrame = packs.POPULAR_PACKAGES) -> DataFrame:
     """All registry signals as finding rows; ``ordinal`` is the order of the checks.
 
     One pass: each row builds its (at most five) findings as an array.
@@ -161,8 +166,7 @@ def metadata_findings(registry: DataFrame, as_of: Column, popular: Sequence[str]
                text("Package name '", name, "' is close to '", nearest["target"], "'"),
                text("Levenshtein distance: ", nearest["distance"])),
     )
-    registry = registry.withColumn("nearest", F.when(ok, nearest_popular(name, popular)))
-    rows = registry.select("registry_key", "package_name", F.explode_outer(signals).alias("s")).filter(F.col("s").isNotNull())
+    rows = with_nearest(registry, popular).select("registry_key", "package_name", F.explode_outer(signals).alias("s")).filter(F.col("s").isNotNull())
     return rows.select("registry_key", "package_name", "s.*", F.lit("suspicious_activity").alias("category"),
                        F.lit(MITRE).alias("mitre_id"), F.lit(packs.MITRE_NAMES[MITRE]).alias("mitre_name"))
 

@@ -247,6 +247,11 @@ def verdicts(events: DataFrame, keys: Sequence[str] = RUN,
         (F.col("rule_findings") + F.when(burst > 0, 1).otherwise(0)).alias("finding_count"))
 
 
+def run_packages(events: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    """The package of each run, that of its last event as in ``verdicts``."""
+    return events.groupBy(*keys).agg(F.max_by("package_name", "seq").alias("package_name"))
+
+
 def unlink_findings(events: DataFrame) -> DataFrame:
     return first_hits(events.filter(F.col("event_type") == "UNLINK")).select(
         "detonation_id", F.col("key").alias("filename"), F.col("seq").alias("order_key"),

@@ -1,8 +1,9 @@
 """Static scan of package sources: (package, path, content) rows in, findings out.
 
 The scan is row-local and has no shuffle.  A rule's literal needle is tested on
-the bytes of the whole text first; only texts that hold it are split into lines,
-and the regex runs on the lines that hold it.
+the bytes of the whole text first; only texts that hold one are split into lines, once
+for all rules, and a regex runs on the lines that hold its needle.  A text's hits are an
+array of (rule, line), so no text is copied per rule.
 """
 
 from __future__ import annotations
@@ -47,22 +48,22 @@ def scan_rule_pack(files: DataFrame, rules: Sequence[packs.CodeRule], ids: Seque
     def holds(rule: packs.CodeRule, text: str) -> str:
         return f"contains({text}, {fx.sql_text(rule.needle)})"
 
-    def slot(number: int, rule: packs.CodeRule) -> str:
-        candidate = holds(rule, content) if rule.needle else f"{content} RLIKE {regex(rule)}"
-        return f"CASE WHEN {candidate} THEN {number} END"
+    def candidate(rule: packs.CodeRule) -> str:
+        return holds(rule, content) if rule.needle else f"{content} RLIKE {regex(rule)}"
 
-    def first_line(rule: packs.CodeRule) -> str:
+    def hit(number: int, rule: packs.CodeRule) -> str:
+        """The rule's first line as an array of at most one hit."""
         needle = f"{holds(rule, 'x')} AND " if rule.needle else ""
-        return f"array_position(transform(_lines, x -> {needle}x RLIKE {regex(rule)}), true)"
-
-    hits = F.expr(f"array({', '.join(slot(i, r) for i, r in enumerate(rules, 1))})")
-    per_rule = files.select(*ids, content, F.explode_outer(hits).alias("rule_no")).filter(F.col("rule_no").isNotNull())
-    lines = per_rule.select(*ids, "rule_no", fx.split_lines(content).alias("_lines"))
-    number = F.expr("CASE rule_no " + " ".join(f"WHEN {i} THEN {first_line(r)}" for i, r in enumerate(rules, 1)) + " END")
-    found = lines.select("*", fx.once(number).alias("line_no")).filter(F.col("line_no") > 0)
-    line = F.element_at("_lines", F.col("line_no").cast("int"))
-    return found.select(*ids, "rule_no", F.col("line_no").cast("long").alias("line_no"),
-                        F.substring(fx.strip_ws(line), 1, PREVIEW_CHARS).alias("line"))
+        lines = f"transform(_lines, x -> {needle}x RLIKE {regex(rule)})"
+        place = f"CASE WHEN {holds(rule, content) if rule.needle else 'true'} THEN array_position({lines}, true) END"
+        return f"transform(filter(array({place}), n -> n > 0), n -> struct({number} AS rule_no, n AS line_no, element_at(_lines, cast(n AS int)) AS line))"
+
+    some = F.expr(" OR ".join(candidate(r) for r in rules) or "false")
+    split = files.select(*ids, content, fx.once(F.when(some, fx.split_lines(content))).alias("_lines")).filter(F.col("_lines").isNotNull())
+    hits = F.expr(f"flatten(array({', '.join(hit(i, r) for i, r in enumerate(rules, 1))}))")
+    found = split.select(*ids, F.explode(hits).alias("_hit"))
+    return found.select(*ids, "_hit.rule_no", F.col("_hit.line_no").cast("long").alias("line_no"),
+                        F.substring(fx.strip_ws("_hit.line"), 1, PREVIEW_CHARS).alias("line"))
 
 
 def scan_patterns(files: DataFrame, rules: Sequence[packs.CodeRule] = packs.CODE_RULES) -> DataFrame:

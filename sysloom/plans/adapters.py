@@ -146,6 +146,21 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 7 != 0, k * 37 % 5000).alias("weekly_downloads"), names.alias("maintainers"))
 
 
+def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3 list: two names per part, one and two letters longer than a name of the registry."""
+    p = registry(spark, sf_dir).select("package_name", F.md5(F.col("part_key").cast("string")).alias("h"))
+    longer = F.array(F.concat("package_name", F.substring("h", 1, 1)), F.concat("package_name", F.substring("h", 2, 2)))
+    return p.select(F.explode(longer).alias("name")).distinct()
+
+
+def damaged_lockfiles(files: DataFrame) -> DataFrame:
+    """Every second project's file: JSON without its last character, YAML with an inline block."""
+    cut = F.when(F.col("content").startswith("{"), F.substr("content", F.lit(1), F.length("content") - 1)).otherwise(
+        F.replace(F.col("content"), F.lit("packages:\n"), F.lit("packages: {a@1.0.0: {dev: false}}\n")))
+    number = F.regexp_extract("project", r"(\d+)", 1).cast("long")
+    return files.withColumn("content", F.when(number % 2 == 0, cut).otherwise(F.col("content")))
+
+
 def lock_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: lockfile entries; a project (one lockfile) per hundred parts, keys unique within it."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("s"))

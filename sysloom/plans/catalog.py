@@ -237,13 +237,13 @@ def risk_bands(spark, d):
 @query
 def mitre_summary(spark, d):
     v = a.syscalls(spark, d)
-    return rules.mitre_summary(rules.findings(v), rules.verdicts(v))
+    return rules.mitre_summary(rules.findings(v), rules.run_packages(v))
 
 
 @query
 def category_summary(spark, d):
     v = a.syscalls(spark, d)
-    return rules.category_summary(rules.findings(v), rules.verdicts(v))
+    return rules.category_summary(rules.findings(v), rules.run_packages(v))
 
 
 @query
@@ -273,6 +273,21 @@ def typosquat_candidates(spark, d):
     return registry.typosquat_candidates(a.registry(spark, d))
 
 
+@query
+def typosquat_from_table(spark, d):
+    return registry.typosquat_candidates(a.registry(spark, d), a.known_names(spark, d))
+
+
+@query
+def registry_summary_from_table(spark, d):
+    return registry.registry_summary(a.registry(spark, d), _as_of(), a.known_names(spark, d)).select("registry_key", "available", "typosquat_target")
+
+
+@query
+def metadata_findings_from_table(spark, d):
+    return registry.metadata_findings(a.registry(spark, d), _as_of(), a.known_names(spark, d)).select("registry_key", "ordinal", "severity", "evidence")
+
+
 @query
 def not_in_registry(spark, d):
     return registry.not_in_registry(a.registry(spark, d))
@@ -352,6 +367,14 @@ def pnpm_targets(spark, d):
     return dependencies.pnpm_targets(a.pnpm_lockfiles(spark, d))
 
 
+@query
+def rejected_lockfiles(spark, d):
+    """Lockfiles cut short, or written in flow style, among good ones."""
+    kinds = {"npm": a.npm_lockfiles, "manifest": a.bare_manifests, "pnpm": a.pnpm_lockfiles}
+    found = [dependencies.rejected_lockfiles(a.damaged_lockfiles(files(spark, d)), kind).withColumn("dialect", F.lit(kind)) for kind, files in kinds.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query
 def manifest_targets(spark, d):
     return dependencies.manifest_targets(a.bare_manifests(spark, d)).select("project", "name", "version")

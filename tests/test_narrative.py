@@ -174,7 +174,10 @@ def test_large_popular_list_gives_the_same(spark):
     names = ["lodash", "lodas", "Lodahs", "nxt", "expresss", "reactive", "vu", "v", "ab", "", "chalk2x", "xchal"]
     table = registry_table(spark, names)
     padded = packs.POPULAR_PACKAGES + tuple(f"unrelated-package-name-{i}" for i in range(200))
+    listed = spark.createDataFrame([(p,) for p in padded], "name string")
     assert near(registry.typosquat_candidates(table, padded)) == near(registry.typosquat_candidates(table)) == _short(names)
+    assert near(registry.typosquat_candidates(table, listed)) == _short(names)
+    assert registry.typosquat_candidates(table, listed.limit(0)).count() == 0
 
 
 def test_merge_metadata(spark):

@@ -84,7 +84,7 @@ def test_first_rule_of_a_pattern_counts(events):
 
 def test_names_beyond_reach_make_no_variants(spark):
     names = spark.createDataFrame([("x" * 214,), ("expresss",)], "package_name string")
-    assert [(r.package_name, r.nearest.target) for r in registry._nearest_by_join(names, ["express", "react"]).collect()] == [("expresss", "express")]
+    assert [(r.package_name, r.nearest.target) for r in registry.nearest_in_table(names, spark.createDataFrame([("express",), ("react",), (None,)], "name string")).collect()] == [("expresss", "express")]
 
 
 @pytest.mark.parametrize("rule_type", [packs.EXEC_RULES, packs.FILE_RULES])
