@@ -2,15 +2,16 @@
 
 A sketch keeps every hash of a text's byte shingles below a fixed fraction of the hash range,
 so its size grows with the text and two sketches compare at one threshold however unequal
-the texts are.  Short texts would keep nothing; for them the threshold rises until
-``FLOOR`` hashes (or all) are kept, and the sketch carries its threshold.  Sketches merge by
-union at the smaller threshold.  Likeness is the estimated containment of a text's shingles
-in another text.
-
-Rows: a null text is empty.  An empty text has an empty sketch; two of them are alike (1), one
-of them is unlike anything else (0).  Texts shorter than a shingle have one shingle.  The next
+the texts are.  The fraction is the same for all texts: a kilobyte keeps about 64 hashes, five
+bytes each, and an estimate from them is off by about 0.06.  A sketch carries its threshold, and
+sketches merge by union at the smaller one.  Likeness is the estimated containment of a text's
+shingles in another text.
+
+Rows: a null text is empty.  An empty text has an empty sketch, and a short one may have, since
+the fraction holds for it as well; two empty sketches are alike (1), one is unlike any other (0).
+Texts shorter than a shingle have one shingle; very long ones are worked through in slices.  The next
 document goes by ascending id, null ids last, rows of equal ids by text; the one after the last
-is the first.  A single row follows itself, an empty table gives an empty result.  Other
+is the first.  Ids may be of any type that has an order.  A single row follows itself, an empty table gives an empty result.  Other
 columns are not read.
 """
 
@@ -24,13 +25,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
+from ..operators.numbering import number_rows
+from ..session import cut_lineage
 from .textscan import mix
 
 SHINGLE_BYTES = 12
-FRACTION = 1 / 64
-FLOOR = 32
-ALL = (1 << 64) - 1
+FRACTION = 1 / 16
+BITS = 40
+ALL = (1 << BITS) - 1
 Sketch = tuple[int, np.ndarray]  # threshold, ascending hashes up to it
 _SLICE = 1 << 20
 
@@ -42,18 +46,13 @@ def shingle_hashes(text: bytes) -> np.ndarray:
     text = text.ljust(SHINGLE_BYTES, b"\0")
     eight = np.ndarray((len(text) - 7,), "<u8", text, strides=(1,))
     rest = SHINGLE_BYTES - 8
-    return mix(eight[:-rest] + mix(eight[rest:]))
+    return mix(eight[:-rest] + mix(eight[rest:])) >> np.uint64(64 - BITS)
 
 
-def sketch(text: bytes, fraction: float = FRACTION, floor: int = FLOOR) -> Sketch:
-    fixed = int(fraction * ALL)
-    parts = [text[k:k + _SLICE + SHINGLE_BYTES - 1] for k in range(0, max(1, len(text) - SHINGLE_BYTES + 1), _SLICE)]
-    hashes = [shingle_hashes(part) for part in parts]
-    kept = np.unique(np.concatenate([h[h <= fixed] for h in hashes]))
-    if len(kept) >= floor:
-        return fixed, kept
-    lowest = np.unique(np.concatenate([np.unique(h)[:floor + 1] for h in hashes]))
-    return (int(lowest[floor - 1]), lowest[:floor]) if len(lowest) > floor else (ALL, lowest)
+def sketch(text: bytes, fraction: float = FRACTION) -> Sketch:
+    limit = int(fraction * ALL)
+    parts = [shingle_hashes(text[k:k + _SLICE + SHINGLE_BYTES - 1]) for k in range(0, max(1, len(text) - SHINGLE_BYTES + 1), _SLICE)]
+    return limit, np.unique(np.concatenate([h[h <= limit] for h in parts]))
 
 
 def merge(a: Sketch, b: Sketch) -> Sketch:
@@ -73,11 +72,14 @@ def likeness(a: Sketch, b: Sketch) -> float:
 
 
 def to_string(s: Sketch) -> str:
-    return f"{s[0]:016x}{s[1].astype('>u8').tobytes().hex()}"
+    """Threshold and hashes, ten hexadecimal digits each."""
+    return np.append(np.uint64(s[0]), s[1]).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8:].tobytes().hex()
 
 
 def from_string(text: str) -> Sketch:
-    return int(text[:16], 16), np.frombuffer(bytes.fromhex(text[16:]), ">u8").astype(np.uint64)
+    digits = BITS // 4
+    values = [int(text[k:k + digits], 16) for k in range(0, len(text), digits)]
+    return values[0], np.array(values[1:], np.uint64)
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     rows = docs.select(bucket.alias("bucket"), F.lit(False).alias("copy"), "id", "text")
     if firsts:
         to = [(r.id, firsts[k - 1].bucket) for k, r in enumerate(firsts)]
-        target = spark.createDataFrame(to, f"first_id {docs.schema['id'].dataType.simpleString()}, to int")
+        target = spark.createDataFrame(to, "first_id long, to int")
         copies = rows.join(F.broadcast(target), F.col("id").eqNullSafe(F.col("first_id")))
         rows = rows.unionByName(copies.select(F.col("to").alias("bucket"), F.lit(True).alias("copy"), "id", "text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -115,9 +117,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def against_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited form, whose second half is taken from the
     next document's start, and how alike they and the next document are."""
+    kind = docs.schema[id_col].dataType
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    kind = named.schema["id"].dataType.simpleString()
+    if isinstance(kind, IntegralType):
+        return _compared(named.withColumn("id", F.col("id").cast("long"))).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
+    # other ids are numbered in their order
+    numbers = cut_lineage(number_rows(named.select("id").na.drop().distinct(), [], ["id"]).select(F.col("row_no").cast("long").alias("number"), "id"))
+    found = _compared(named.join(numbers, "id", "left").select(F.col("number").alias("id"), "text")).withColumnRenamed("id", "number")
+    return found.join(numbers, "number", "left").drop("number").select(F.col("id").alias(id_col), *found.columns[1:])
+
 
+def _compared(named: DataFrame) -> DataFrame:
     def row(doc, text: str, own: Sketch, after: str, following: Sketch) -> tuple:
         half = len(text) // 2
         edited = (text[:len(text) - half] + after[:half]).encode()
@@ -139,7 +149,6 @@ def against_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    types[0] = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    schema = f"id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return _in_order(named).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return _in_order(named).mapInArrow(run, schema)

@@ -42,9 +42,20 @@ def test_sketch_keeps_all_below_the_fraction_and_merges():
 
 def test_short_and_empty_texts():
     assert sk.likeness(sk.sketch(b""), sk.sketch(b"")) == 1
-    assert sk.likeness(sk.sketch(b""), sk.sketch(b"a")) == sk.likeness(sk.sketch(b"a"), sk.sketch(b"")) == 0
-    assert len(sk.sketch(b"a")[1]) == 1 and sk.sketch(b"a")[0] == sk.ALL
-    assert len(sk.sketch(b"abcdefgh" * 40 + b"x")[1]) <= sk.FLOOR
+    assert sk.likeness(sk.sketch(b""), sk.sketch(b"a", 1.0)) == sk.likeness(sk.sketch(b"a", 1.0), sk.sketch(b"")) == 0
+    # one fraction for texts of all sizes
+    assert sk.sketch(b"a")[0] == sk.sketch(b"abcdefgh" * 4000)[0] and len(sk.sketch(b"a", 1.0)[1]) == 1
+    assert sk.likeness(sk.sketch(b"a", 1.0), sk.sketch(b"b", 1.0)) == 0
+
+
+def test_estimates_are_near_the_truth_on_average():
+    rnd, off = random.Random(6), []
+    for _ in range(150):
+        a = text(rnd, rnd.randrange(150, 900))
+        b = a[:len(a) // rnd.choice((1, 2, 4))] + text(rnd, 200)
+        true = len(shingles(a) & shingles(b)) / len(shingles(a))
+        off.append(abs(sk.likeness(sk.sketch(a.encode()), sk.sketch(b.encode())) - true))
+    assert sum(off) / len(off) < 0.04 and max(off) < 0.25
 
 
 def test_slices_do_not_matter(monkeypatch):
@@ -82,6 +93,13 @@ def test_neighbours_of_all_kinds(spark):
     assert sk.against_neighbours(docs.limit(0)).count() == 0 and sk.fingerprints(docs).count() == len(rows)
 
 
+def test_text_ids_follow_their_order(spark):
+    rnd = random.Random(5)
+    rows = sorted([(f"id-{rnd.randrange(1000)}", text(rnd, 30)) for _ in range(40)] + [("a", "")])
+    docs = spark.createDataFrame(rnd.sample([*rows, (None, "z")], len(rows) + 1), "doc_id string, text string")
+    assert listed(sk.against_neighbours(docs)) == expected([*rows, (None, "z")])
+
+
 def test_query_against_plain_code(spark):
     d = "/root/testdata/sf0.001"
     rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{d}/documents.parquet").collect())
