@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import textscan
 
@@ -17,6 +19,11 @@ _LOWER[[b for b in range(128) if not chr(b).isalnum()]] = 32
 STEMS = (4, 5)
 
 
+def keyed(labelled: DataFrame) -> DataFrame:
+    """(key, label, text): the key tells documents with equal texts apart where they have a doc_id."""
+    return labelled.select(F.xxhash64(*[c for c in ("doc_id", "text") if c in labelled.columns]).alias("key"), "label", "text")
+
+
 def gram_hashes(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, bucket) of each word, word start, bigram and one-word skip-gram.
 

@@ -49,7 +49,7 @@ def op2_language(spark, d):
 
 
 def labelled(spark: SparkSession, d: str, label: str, max_docs: int) -> DataFrame:
-    """(text, label) of about ``max_docs`` labelled documents that are not held out.
+    """(doc_id, text, label) of about ``max_docs`` labelled documents that are not held out.
 
     The labels are sampled by a hash of the id, which bounds what is broadcast to the texts.
     """
@@ -58,7 +58,7 @@ def labelled(spark: SparkSession, d: str, label: str, max_docs: int) -> DataFram
     share = max_docs / max(1, labels.count())
     if share < 1:
         labels = labels.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "label")
+    return table(spark, d, "documents").select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("doc_id", "text", "label")
 
 
 @query

@@ -6,9 +6,10 @@ term sets the weights of buckets without evidence to exactly zero, so the model
 with the plan is a short list of buckets and weights, bounded by the bucket count.
 
 Training streams over the sample in shards of about ``SHARD_DOCS``; each is passed over once, then Spark
-averages how far the shards moved a coordinate, and every shard goes on from there.
-Labelled rows are a bounded sample: about ``MAX_FIT_DOCS``, chosen by a hash of the text.
-Scoring reads every whole text.
+averages how far the shards moved a coordinate, and every shard goes on from there.  Rows are
+dealt to shards by a hash of document and text, so copies of a text spread over all of them.
+All rows given to ``fit`` are learned from; the caller bounds them, the registered query to
+about ``MAX_FIT_DOCS`` documents by a hash of the id.  Scoring reads every whole text.
 
 Rows: a null or empty text has the bias as its only feature and gets a score.  Labels other
 than 0 and 1 are not learned from; if a class is missing, the score is the share of class 1
@@ -75,20 +76,17 @@ def _features_of(rows: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), lists], ["key", "label", "buckets"])
 
-    return rows.select(F.xxhash64("text").alias("key"), "label", "text").mapInArrow(run, "key long, label int, buckets array<int>")
+    return rows.select("key", "label", "text").mapInArrow(run, "key long, label int, buckets array<int>")
 
 
-def fit(labelled: DataFrame, max_docs: int = MAX_FIT_DOCS, rounds: int = ROUNDS) -> pd.DataFrame:
-    """Non-zero weights by bucket, learned from (text, label)."""
-    usable = labelled.filter("label in (0, 1)")
+def fit(labelled: DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
+    """Non-zero weights by bucket, learned from (text, label) and, where there is one, doc_id."""
+    usable = features.keyed(labelled.filter("label in (0, 1)"))
     sizes = {r.label: r["count"] for r in usable.groupBy("label").count().collect()}
     if len(sizes) < 2:
         rate = {0: 0.0, 1: 1.0}.get(next(iter(sizes), None), 0.5)
         return pd.DataFrame({"bucket": [_BIAS], "weight": [np.log((rate + 1e-6) / (1 - rate + 1e-6))]})
-    share = max_docs / sum(sizes.values())
-    shards = -(-min(max_docs, sum(sizes.values())) // SHARD_DOCS)
-    if share < 1:
-        usable = usable.filter(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    shards = -(-sum(sizes.values()) // SHARD_DOCS)
     rows = cut_lineage(_features_of(usable).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")))
     state = pd.DataFrame({"bucket": np.zeros(0, np.int64), "z": np.zeros(0), "n": np.zeros(0)})
     for _ in range(rounds):

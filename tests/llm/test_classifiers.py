@@ -79,6 +79,27 @@ def test_pairs_are_dealt_not_crossed(spark):
     assert dealt.filter("good[0] >= 900 or poor[0] < 900").count() == 0
 
 
+def test_copies_of_a_labelled_text_spread_over_slots(spark):
+    docs = [(k, "the same text" if k % 3 == 0 else f"text {k}", int(k % 2 == 0)) for k in range(3000)]
+    docs = spark.createDataFrame([*docs, *docs[:50]], "doc_id long, text string, label int")
+    rows = features.keyed(docs).selectExpr("key", "label", "array(1.0D) AS x")
+    assert rows.select("key").distinct().count() == 3000
+    assert rows.selectExpr("pmod(key, 6) AS shard").groupBy("shard").count().agg({"count": "max"}).first()[0] < 1.3 * 3050 / 6
+    assert quality.pairs(rows, 8).count() < 2 * 8 * 3050
+
+
+def test_repeated_texts_and_labels_are_learned_from(spark):
+    rnd = random.Random(3)
+    rows = [(k, "vile scum again" if k % 3 == 0 else sentence(rnd, 30), int(k % 3 == 0)) for k in range(300)]
+    table = spark.createDataFrame([*rows, *rows[:30], (1, rows[1][1], 1)], "doc_id long, text string, label int")
+    docs = spark.createDataFrame([(1, "a vile scum again"), (2, sentence(rnd, 30))], "doc_id long, text string")
+    for module in (toxicity, quality):
+        scored = {r.doc_id: r.score for r in module.score(docs, module.fit(table)).collect()}
+        assert all(0 <= x <= 1 for x in scored.values())
+        if module is toxicity:
+            assert scored[1] > 0.5 > scored[2]
+
+
 def held_out_rows(spark, name, label):
     rows = QUERIES[name](spark, D).collect()
     docs = {r.doc_id for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id").collect()}
@@ -91,6 +112,9 @@ def held_out_rows(spark, name, label):
 def test_toxicity_query_on_held_out_rows(spark):
     pairs = held_out_rows(spark, "op3_toxicity", "toxic")
     assert sum(p == t for p, t in pairs) >= 0.9 * len(pairs) and sum(p for p, t in pairs if not t) <= 0.03 * len(pairs)
+    caught, toxic = sum(p for p, t in pairs if t), sum(t for _, t in pairs)
+    print(f"toxic documents caught: {caught} of {toxic}")
+    assert caught >= 0.6 * toxic
 
 
 def test_quality_query_on_held_out_rows(spark):
