@@ -24,7 +24,7 @@ def check(rows, data, shards, tolerance):
     assert max(abs(t - mean) for t in total) <= tolerance * mean
 
 
-@pytest.mark.parametrize("shards,tolerance", [(1, 0.0), (2, 0.02), (7, 0.05), (40, 0.15)])
+@pytest.mark.parametrize("shards,tolerance", [(1, 0.0), (2, 0.003), (7, 0.005), (40, 0.03)])
 def test_sizes_are_near_equal_and_copies_stay_together(spark, shards, tolerance):
     rnd = random.Random(shards)
     data = [(i, "".join(rnd.choice("abcé") for _ in range(rnd.randrange(20, 200)))) for i in range(3000)]
@@ -36,7 +36,7 @@ def test_sizes_are_near_equal_and_copies_stay_together(spark, shards, tolerance)
     for r in rows:
         where.setdefault(r.text_crc32, set()).add(r.shard)
         weight[r.text_crc32] = weight.get(r.text_crc32, 0) + r.size
-    limit = kdtree.PIECE * sum(weight.values()) / shards
+    limit = sum(weight.values()) / shards
     assert all(len(s) == 1 for k, s in where.items() if weight[k] <= limit)
 
 
@@ -49,6 +49,29 @@ def test_hot_text_nulls_and_repeated_rows(spark, monkeypatch):
     check(kdtree.shard(docs, 10).collect(), data, 10, 0.15)
 
 
+def test_texts_of_very_unequal_sizes_are_evened_out_with_copies_whole(spark):
+    rnd = random.Random(4)
+    data = [(i, "w" * int(20 * 2 ** rnd.uniform(0, 9))) for i in range(600)]
+    # copies of one text weigh about half a shard, those of another more than one
+    data += [(1000 + i, "half a shard " * 40) for i in range(140)] + [(2000 + i, "more than one " * 40) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}", None) for i, t in data], "doc_id long, text string, source string, lang string")
+    rows = kdtree.shard(docs, 8).collect()
+    check(rows, data, 8, 0.01)
+    halves, mean = {r.shard for r in rows if 1000 <= r.doc_id < 2000}, sum(r.size for r in rows) / 8
+    assert len(halves) == 1 and sum(r.size for r in rows if r.doc_id >= 2000) > mean
+
+
+def test_query_shards_are_within_a_hundredth(spark):
+    rows = QUERIES["op4_kdtree"](spark, "/root/testdata/sf0.01").collect()
+    total, where = [0] * 40, {}
+    for r in rows:
+        total[r.shard] += r.size
+        where.setdefault((r.text_crc32, r.size), set()).add(r.shard)
+    mean = sum(total) / 40
+    assert max(abs(t - mean) for t in total) <= 0.01 * mean
+    assert all(len(s) == 1 for s in where.values())
+
+
 def test_one_huge_text_and_empty_table(spark):
     data = [(0, "z" * 500_000)] + [(i, "y" * i) for i in range(1, 50)]
     docs = spark.createDataFrame([(i, t, "s", "l") for i, t in data], "doc_id long, text string, source string, lang string")
