@@ -8,8 +8,8 @@ round, which tasks sum over their pairs.
 
 Pairs are dealt, not crossed: each document meets ``PAIRS`` of the other class, found by
 joining consecutive slots of the two classes; slots go by a hash of document and text, so copies
-of a text spread over all of them.  All rows given to ``fit`` are learned from; the caller bounds
-them, the registered query to about ``MAX_FIT_DOCS`` documents by a hash of the id.  The threshold is the quantile of strengths
+of a text spread over all of them.  All rows given to ``fit`` are learned from, and the registered
+query gives all labelled documents that are not held out.  The threshold is the quantile of strengths
 that leaves as many labelled documents below as are labelled poor; scores are a logistic
 function of the strength that takes ``threshold`` at that quantile.
 
@@ -29,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, release
+from ..session import cut_lineage, drop_shuffles, release
 from . import features, textscan
 
-MAX_FIT_DOCS = 24_000
 PAIRS = 8
 ROUNDS = 10
 RIDGE = 1e-3
@@ -139,6 +138,7 @@ def fit(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float] | fl
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["key", "label", "x"])
 
     rows = cut_lineage(usable.select("key", "label", "text").mapInArrow(run, "key long, label int, x array<double>"))
+    drop_shuffles(rows.sparkSession)
     width = _expand(np.zeros((1, len(FEATURES)))).shape[1]
     stats = rows.agg(*[F.stddev_pop(F.get("x", F.lit(k))) for k in range(width)]).first()
     scale = np.array([1 / s if s and s > 1e-9 else 0.0 for s in stats])

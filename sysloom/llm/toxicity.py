@@ -8,8 +8,8 @@ with the plan is a short list of buckets and weights, bounded by the bucket coun
 Training streams over the sample in shards of about ``SHARD_DOCS``; each is passed over once, then Spark
 averages how far the shards moved a coordinate, and every shard goes on from there.  Rows are
 dealt to shards by a hash of document and text, so copies of a text spread over all of them.
-All rows given to ``fit`` are learned from; the caller bounds them, the registered query to
-about ``MAX_FIT_DOCS`` documents by a hash of the id.  Scoring reads every whole text.
+All rows given to ``fit`` are learned from, and the registered query gives all labelled documents
+that are not held out.  Scoring reads every whole text.
 
 Rows: a null or empty text has the bias as its only feature and gets a score.  Labels other
 than 0 and 1 are not learned from; if a class is missing, the score is the share of class 1
@@ -28,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, release
+from ..session import cut_lineage, drop_shuffles, release
 from . import features
 
 BITS = 24
-MAX_FIT_DOCS = 24_000
 #: Documents of a shard, on average.
 SHARD_DOCS = 5_000
 #: Sight of a coordinate from which on it is learned: rarer ones only recall single documents.
@@ -88,6 +87,7 @@ def fit(labelled: DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
         return pd.DataFrame({"bucket": [_BIAS], "weight": [np.log((rate + 1e-6) / (1 - rate + 1e-6))]})
     shards = -(-sum(sizes.values()) // SHARD_DOCS)
     rows = cut_lineage(_features_of(usable).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")))
+    drop_shuffles(rows.sparkSession)
     state = pd.DataFrame({"bucket": np.zeros(0, np.int64), "z": np.zeros(0), "n": np.zeros(0)})
     for _ in range(rounds):
         start = tuple(state[c].to_numpy() for c in ("bucket", "z", "n"))
@@ -125,6 +125,7 @@ def fit(labelled: DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
         # mean over the shards that met a coordinate; rounded, so that the order of the tasks does not show
         mean = lambda c: (F.sum(F.round(F.col(c) * (1 << 24)).cast("long")) / F.count("*") / (1 << 24)).alias(c)
         moved = moved.groupBy("bucket").agg(mean("z"), mean("n")).toArrow().to_pandas()
+        drop_shuffles(rows.sparkSession)
         state = pd.concat([state, moved]).groupby("bucket", as_index=False).sum()
     release(rows)
     model = Ftrl()

@@ -100,6 +100,19 @@ def test_repeated_texts_and_labels_are_learned_from(spark):
             assert scored[1] > 0.5 > scored[2]
 
 
+@pytest.mark.parametrize("name, module, label", [("op6_quality", quality, "quality"), ("op3_toxicity", toxicity, "toxic")])
+def test_queries_learn_from_every_labelled_document(spark, tmp_path, monkeypatch, name, module, label):
+    rnd = random.Random(7)
+    spark.createDataFrame([(i, sentence(rnd, 20)) for i in range(400)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, i % 2, i % 2) for i in range(0, 400, 2)] + [(1, None, None), (3, 5, 5), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    given, module_fit = [], module.fit
+    monkeypatch.setattr(module, "MAX_FIT_DOCS", 40, raising=False)
+    monkeypatch.setattr(module, "fit", lambda rows: given.extend(r.doc_id for r in rows.collect()) or module_fit(rows))
+    QUERIES[name](spark, str(tmp_path)).count()
+    assert sorted(given) == [i for i in range(0, 400, 2) if zlib.crc32(str(i).encode()) % 4 != 2]
+
+
 def held_out_rows(spark, name, label):
     rows = QUERIES[name](spark, D).collect()
     docs = {r.doc_id for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id").collect()}
