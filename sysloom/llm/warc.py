@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from ..session import cut_lineage
+
 VERSION = "WARC/1."
 CRLF = "\r\n"
 CHUNK_BYTES = 4096
@@ -212,8 +214,9 @@ def page_id(record_id: Column) -> Column:
 
 def archive_index(records: DataFrame, kind: str = "long") -> DataFrame:
     """Per page of an archive: payload length and digest, record type and what a revisit refers to."""
-    responses = payloads(records).filter("problem is null").select(
-        "record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest")
+    # written once: payloads are put together for the responses themselves and for their revisits
+    responses = cut_lineage(payloads(records).filter("problem is null").select(
+        "record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest"))
     revisits = records.filter("type = 'revisit'").select("record_id", F.col("refers_to").alias("to"))
     found = revisits.join(responses.withColumnRenamed("record_id", "to"), "to").select("record_id", "payload_bytes", "payload_digest", "to")
     rows = responses.withColumn("to", F.lit(None).cast("string")).unionByName(found)
