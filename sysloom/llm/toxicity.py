@@ -5,9 +5,11 @@ Features are the presence of words, word starts, bigrams and one-word skip-grams
 term sets the weights of buckets without evidence to exactly zero, so the model that travels
 with the plan is a short list of buckets and weights, bounded by the bucket count.
 
-Training streams over the sample in shards of about ``SHARD_DOCS``; each is passed over once, then Spark
+Training streams over the rows in shards of about ``SHARD_DOCS``; each is passed over once, then Spark
 averages how far the shards moved a coordinate, and every shard goes on from there.  Rows are
 dealt to shards by a hash of document and text, so copies of a text spread over all of them.
+Their texts are shuffled once and their buckets written once, by shard and as differences, and
+the rounds read them from there without a shuffle.
 All rows given to ``fit`` are learned from, and the registered query gives all labelled documents
 that are not held out.  Scoring reads every whole text.
 
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, drop_shuffles, release
@@ -43,39 +45,84 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 1.0
 _BIAS = 1 << BITS
 
 
-class Ftrl:
-    """State of FTRL-proximal: sums of adjusted gradients and of squared gradients."""
-
-    def __init__(self):
-        self.z, self.n = np.zeros((2, _BIAS + 1), np.float32)
+def _weights(z: np.ndarray, n: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    shrunk = np.sign(z) * np.maximum(np.abs(z) - np.where(bias, 0, L1), 0)  # the bias is not made sparse
+    return -shrunk / ((BETA + np.sqrt(n)) / ALPHA + L2)
 
-    def weights(self, at: np.ndarray) -> np.ndarray:
-        z = self.z[at]
-        dense = at == _BIAS  # the bias is not made sparse
-        shrunk = np.sign(z) * np.maximum(np.abs(z) - np.where(dense, 0, L1), 0)
-        return -shrunk / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2)
 
-    def learn(self, at: np.ndarray, label: int) -> None:
-        w = self.weights(at)
+class Ftrl:
+    """State of FTRL-proximal: sums of adjusted gradients and of squared gradients.
+
+    Only coordinates that are learned have a slot; ``place`` holds the slots and, below zero, the
+    sights of the others.  Slot 0 stays empty, slot 1 is the bias.
+    """
+
+    def __init__(self, bucket: np.ndarray, z: np.ndarray, n: np.ndarray):
+        self.place, self.slots = np.zeros(_BIAS + 1, np.int32), 1
+        self.bucket, self.touched = np.zeros(1, np.int64), np.zeros(1, bool)
+        self.z, self.n = np.zeros((2, 1), np.float32)
+        self._add(np.array([_BIAS]))
+        self._add(bucket[bucket != _BIAS])
+        at = self.place[bucket]
+        self.z[at], self.n[at] = z, n
+        self.start = self.z[:self.slots].copy(), self.n[:self.slots].copy()
+
+    def _add(self, buckets: np.ndarray) -> None:
+        first, self.slots = self.slots, self.slots + len(buckets)
+        if self.slots > len(self.z):
+            longer = lambda x: np.concatenate([x, np.zeros(self.slots, x.dtype)])
+            self.bucket, self.touched, self.z, self.n = map(longer, (self.bucket, self.touched, self.z, self.n))
+        self.bucket[first:self.slots], self.place[buckets] = buckets, np.arange(first, self.slots)
+
+    def learn(self, buckets: np.ndarray, label: int) -> None:
+        rare = buckets[self.place[buckets] <= 0]
+        self.place[rare] -= 1
+        self._add(rare[self.place[rare] == -INCLUDED])
+        at = self.place[buckets]
+        at = np.append(at[at > 0], 1)
+        z, n = self.z[at], self.n[at]
+        w = _weights(z, n, at == 1)
         gradient = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-        n = self.n[at]
         squared = n + gradient * gradient
         self.z[at] += gradient - (np.sqrt(squared) - np.sqrt(n)) / ALPHA * w
         self.n[at] = squared
+        self.touched[at] = True
+
+    def moves(self) -> pa.RecordBatch:
+        """How far the coordinates that were met have moved."""
+        z, n = self.z[:self.slots].copy(), self.n[:self.slots].copy()
+        for now, start in zip((z, n), self.start):
+            now[:len(start)] -= start
+        far = self.touched[:self.slots] & (np.abs(z) > DROPPED)
+        return pa.RecordBatch.from_arrays([pa.array(x[far]) for x in (self.bucket[:self.slots], z.astype(float), n.astype(float))], ["bucket", "z", "n"])
 
 
 def _features_of(rows: DataFrame) -> DataFrame:
-    """(key, label, buckets): distinct feature buckets of each labelled text."""
+    """(shard, key, label, buckets): distinct feature buckets of each labelled text, ascending."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, doc, bucket in features.per_group(batch.column(2), BITS):
+            for a, b, doc, bucket in features.per_group(batch.column(3), BITS):
                 pairs = np.unique(doc << (BITS + 1) | bucket)
                 bounds = np.searchsorted(pairs >> (BITS + 1), np.arange(b - a + 1))
                 values = pa.array((pairs & ((1 << (BITS + 1)) - 1)).astype(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), lists], ["key", "label", "buckets"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(3)), lists], ["shard", "key", "label", "buckets"])
+
+    return rows.select("shard", "key", "label", "text").mapInArrow(run, "shard int, key long, label int, buckets array<int>")
+
+
+def dealt(usable: DataFrame, shards: int) -> DataFrame:
+    """The features of (key, label, text) as a table in buckets of whole shards.
+
+    Ascending numbers take about half the space as differences, which Parquet's second version writes.
+    """
+    by_shard = usable.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).repartition(shards, "shard")
+    return cut_lineage(_features_of(by_shard), (shards, "shard"), **{"parquet.writer.version": "v2"})
+
 
-    return rows.select("key", "label", "text").mapInArrow(run, "key long, label int, buckets array<int>")
+def in_order(rows: DataFrame) -> DataFrame:
+    """Whole shards, one after the other and each by key and label; sorted where they lie."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("shard").orderBy("key", "label")))
 
 
 def fit(labelled: DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
@@ -86,52 +133,36 @@ def fit(labelled: DataFrame, rounds: int = ROUNDS) -> pd.DataFrame:
         rate = {0: 0.0, 1: 1.0}.get(next(iter(sizes), None), 0.5)
         return pd.DataFrame({"bucket": [_BIAS], "weight": [np.log((rate + 1e-6) / (1 - rate + 1e-6))]})
     shards = -(-sum(sizes.values()) // SHARD_DOCS)
-    rows = cut_lineage(_features_of(usable).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")))
+    rows = dealt(usable, shards)
     drop_shuffles(rows.sparkSession)
     state = pd.DataFrame({"bucket": np.zeros(0, np.int64), "z": np.zeros(0), "n": np.zeros(0)})
     for _ in range(rounds):
         start = tuple(state[c].to_numpy() for c in ("bucket", "z", "n"))
 
-        def run(frames: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
-            now, model, touched, sights = None, None, None, None
-
-            def moves() -> pd.DataFrame:
-                at = np.flatnonzero(touched)
-                moved = pd.DataFrame({"bucket": at, "z": model.z[at], "n": model.n[at]})
-                known = np.isin(start[0], at)  # both ascending
-                place = np.searchsorted(at, start[0][known])
-                for k, c in ((1, "z"), (2, "n")):
-                    column = moved[c].to_numpy(copy=True)
-                    column[place] -= start[k][known].astype(np.float32)
-                    moved[c] = column.astype(float)
-                return moved[np.abs(moved["z"]) > DROPPED]
-
-            for frame in frames:
-                for shard, label, buckets in zip(frame["shard"], frame["label"], frame["buckets"]):
+        def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            now, model = None, None
+            for batch in batches:
+                lists = batch.column("buckets")
+                bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                for shard, label, a, b in zip(batch.column("shard").to_pylist(), batch.column("label").to_pylist(), bounds[:-1], bounds[1:]):
                     if shard != now:
                         if model:
-                            yield moves()
-                        now, model, touched, sights = shard, Ftrl(), np.zeros(_BIAS + 1, bool), np.zeros(_BIAS, np.uint8)
-                        model.z[start[0]], model.n[start[0]] = start[1], start[2]
-                    seen = np.minimum(sights[buckets] + 1, INCLUDED)
-                    sights[buckets] = seen
-                    at = np.append(buckets[(seen == INCLUDED) | (model.z[buckets] != 0)], _BIAS)
-                    model.learn(at, label)
-                    touched[at] = True
+                            yield model.moves()
+                        now, model = shard, None  # the old one is let go before there is a new one
+                        model = Ftrl(*start)
+                    model.learn(values[a:b], label)
             if model:
-                yield moves()
+                yield model.moves()
 
-        moved = rows.repartition(shards, "shard").sortWithinPartitions("shard", "key", "label").mapInPandas(run, "bucket long, z double, n double")
+        moved = in_order(rows).mapInArrow(run, "bucket long, z double, n double")
         # mean over the shards that met a coordinate; rounded, so that the order of the tasks does not show
         mean = lambda c: (F.sum(F.round(F.col(c) * (1 << 24)).cast("long")) / F.count("*") / (1 << 24)).alias(c)
         moved = moved.groupBy("bucket").agg(mean("z"), mean("n")).toArrow().to_pandas()
         drop_shuffles(rows.sparkSession)
         state = pd.concat([state, moved]).groupby("bucket", as_index=False).sum()
     release(rows)
-    model = Ftrl()
-    model.z[state["bucket"]], model.n[state["bucket"]] = state["z"], state["n"]
     at = state["bucket"].to_numpy()
-    weights = model.weights(at).astype(float)
+    weights = _weights(*(state[c].to_numpy(np.float32) for c in ("z", "n")), at == _BIAS).astype(float)
     return pd.DataFrame({"bucket": at[weights != 0], "weight": weights[weights != 0]})
 
 

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 
 from sysloom.llm import features, quality, textscan, toxicity
+from sysloom.llm import queries as corpus
 from sysloom.llm.queries import QUERIES
+from sysloom.session import release
 
 D = "/root/testdata/sf0.01"
 WORDS = "the of and river stone table green walk slow light cloud winter paper road house".split()
@@ -113,6 +115,36 @@ def test_queries_learn_from_every_labelled_document(spark, tmp_path, monkeypatch
     assert sorted(given) == [i for i in range(0, 400, 2) if zlib.crc32(str(i).encode()) % 4 != 2]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_read_whole_shards_in_order_without_a_shuffle(spark):
+    rnd = random.Random(8)
+    usable = features.keyed(spark.createDataFrame([(k, sentence(rnd, 30), k % 2) for k in range(500)], "doc_id long, text string, label int"))
+    rows = toxicity.dealt(usable, 4)
+    ordered = toxicity.in_order(rows)
+    assert "Exchange" not in plan_of(ordered)
+    parts = ordered.rdd.glom().collect()
+    seen = [[(r.shard, r.key, r.label) for r in part] for part in parts]
+    assert all(part == sorted(part) for part in seen) and sum(map(len, seen)) == 500
+    assert sum(len({s for s, _, _ in part}) for part in seen) == 4
+    texts = {r.key: r for r in usable.collect()}
+    for r in rows.take(20):
+        data = np.frombuffer(texts[r.key].text.encode(), np.uint8)
+        assert r.buckets == sorted(set(features.gram_hashes(data, np.array([0, len(data)]), toxicity.BITS)[1].tolist()))
+    release(rows)
+
+
+def test_texts_without_a_label_are_left_out_before_the_shuffle(spark, monkeypatch):
+    docs = spark.range(20_000).selectExpr("id AS doc_id")
+    ids = spark.createDataFrame([(k,) for k in range(0, 20_000, 50)] + [(-1,), (None,)], "doc_id int")
+    got = {r.doc_id for r in corpus.likely_in(docs, ids, "doc_id").collect()}
+    assert got >= set(range(0, 20_000, 50)) and len(got) < 450
+    monkeypatch.setattr(corpus, "ID_WORDS", 1)  # a full map lets everything pass, and still loses nothing
+    assert {r.doc_id for r in corpus.likely_in(docs, ids, "doc_id").collect()} >= set(range(0, 20_000, 50))
+
+
 def held_out_rows(spark, name, label):
     rows = QUERIES[name](spark, D).collect()
     docs = {r.doc_id for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id").collect()}
