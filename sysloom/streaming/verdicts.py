@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
@@ -103,14 +103,17 @@ def _session_run(start: str = "session_start") -> Column:
     return F.concat_ws("@", "detonation_id", F.unix_micros(start).cast("string"))
 
 
-def session_reports(events: DataFrame, found: DataFrame, answers: DataFrame | None = None, gap_seconds: float = sessions.GAP_SECONDS,
-                    score: Score = score_batch, analyzed_at: Column | None = None) -> DataFrame:
-    """Report documents with their ``session_start`` for the sessions ``found``.
+def session_events(events: DataFrame, found: DataFrame, gap_seconds: float = sessions.GAP_SECONDS) -> DataFrame:
+    """The events of the sessions ``found``, each session as a run of its own."""
+    return sessions.attach_sessions(events, found.select(*SESSION, "session_last"), gap_seconds).withColumn("detonation_id", _session_run())
+
+
+def session_reports(keyed: DataFrame, answers: DataFrame | None = None, score: Score = score_batch, analyzed_at: Column | None = None) -> DataFrame:
+    """Report documents with their ``session_start`` for the sessions of ``session_events``.
 
     ``answers`` has (detonation_id, session_start, chain, seq, response); the last one of a
     session counts.  An answer to a session with another start is not used: it was asked about other events.
     """
-    keyed = sessions.attach_sessions(events, found.select(*SESSION, "session_last"), gap_seconds).withColumn("detonation_id", _session_run())
     given = {}
     if answers is not None:
         last = answers.groupBy(_session_run().alias("detonation_id"), "chain").agg(F.max_by("response", F.struct("seq", "response")).alias("response"))
@@ -132,23 +135,32 @@ def batch_reports(events: DataFrame, answers: DataFrame | None = None, gap_secon
                   score: Score = score_batch, analyzed_at: Column | None = None) -> DataFrame:
     """The reports that a stream over the same events and answers ends with."""
     found = sessions.sessionize(events, gap_seconds)
-    return last_per_run(session_reports(events, found, answers, gap_seconds, score, analyzed_at))
+    return last_per_run(session_reports(session_events(events, found, gap_seconds), answers, score, analyzed_at))
 
 
 # ---------------------------------------------------------------- one step
 def _merged(tables: VerdictTables, version: int, gap_seconds: float) -> DataFrame | None:
-    """The new intervals and the stored sessions near them, numbered by the session they now form."""
+    """The new intervals and the stored sessions near them, numbered by the session they now form.
+
+    ``_first``, ``_last`` and ``touched`` tell of that session where it begins and ends and whether it has new events.
+    """
     gap = int(gap_seconds * 1_000_000)
-    new = sessions.intervals(tables.events.at(version), gap_seconds).withColumn("is_new", F.lit(True))
+    # read three times below, so written once
+    new = cut_lineage(sessions.intervals(tables.events.at(version), gap_seconds).withColumn("is_new", F.lit(True)))
     span = new.agg(F.min("first").alias("a"), F.max("last").alias("b")).first()
     if span.a is None:
+        release(new)
         return None
     # a session's last time only grows, so the bound holds for all later versions of a key
     stored = tables.sessions.latest(version, F.col("last") >= span.a - gap).filter((F.col("status") != ABSORBED) & (F.col("first") <= span.b + gap))
     stored = stored.join(new.select("detonation_id").distinct(), "detonation_id", "left_semi")
     columns = ["detonation_id", "first", "last", "events", "last_seq", "package_name", "is_new"]
     both = new.select(*columns).unionByName(stored.withColumn("is_new", F.lit(False)).select(*columns))
-    return cut_lineage(sessions.join_intervals(both, gap_seconds))
+    island = Window.partitionBy("detonation_id", "island")
+    merged = cut_lineage(sessions.join_intervals(both, gap_seconds).select(
+        "*", F.min("first").over(island).alias("_first"), F.max("last").over(island).alias("_last"), F.max("is_new").over(island).alias("touched")))
+    release(new)
+    return merged
 
 
 def _session_rows(tables: VerdictTables, version: int, merged: DataFrame | None, watermark: Column, since: int | None, gap: int) -> DataFrame:
@@ -157,12 +169,11 @@ def _session_rows(tables: VerdictTables, version: int, merged: DataFrame | None,
     spark = tables.sessions.spark
     rows = spark.createDataFrame([], "detonation_id string, first long, last long, events long, last_seq long, package_name string, status string")
     if merged is not None:
-        islands = merged.groupBy("detonation_id", "island").agg(
+        islands = merged.filter("touched").groupBy("detonation_id", "island").agg(
             F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"),
-            F.max(F.struct("last_seq", "package_name")).alias("top"), F.max("is_new").alias("touched")).filter("touched")
+            F.max(F.struct("last_seq", "package_name")).alias("top"))
         grown = islands.select("detonation_id", "first", "last", "events", "top.last_seq", "top.package_name", is_over.alias("status"))
-        ends = islands.select("detonation_id", "island", F.col("first").alias("_first"), F.col("last").alias("_last"))
-        taken = merged.filter("not is_new").join(ends, ["detonation_id", "island"])
+        taken = merged.filter("touched and not is_new")
         absorbed = taken.filter("first <> _first").select(
             "detonation_id", "first", F.col("_last").alias("last"), "events", "last_seq", "package_name", F.lit(ABSORBED).alias("status"))
         rows = rows.unionByName(grown).unionByName(absorbed)
@@ -215,16 +226,19 @@ def advance(tables: VerdictTables, version: int, events: DataFrame | None = None
     gone = tables.sessions.at(version).filter(F.col("status") == ABSORBED).select(*SESSION, F.lit(True).alias("gone"))
     none = tables.reports.spark.createDataFrame([], tables.reports.schema).drop("version")
     rows = none.unionByName(gone, allowMissingColumns=True)
+    keyed = None
     if span.a is not None:
         history = tables.events.read(version + 1).filter(F.col("captured_at").between(span.a, span.b))
         known = None
         if tables.answers.spans(before=version + 1):
             near = tables.answers.read(version + 1).filter(F.col("session_start").between(span.a, span.b))
             known = near.join(due.select(*SESSION), list(SESSION), "left_semi")
-        scored = session_reports(history, due, known, gap_seconds, score, analyzed_at)
+        # scoring reads its events several times, so they are joined to their sessions once
+        keyed = cut_lineage(session_events(history, due, gap_seconds))
+        scored = session_reports(keyed, known, score, analyzed_at)
         rows = rows.unionByName(scored.withColumn("gone", F.lit(False)), allowMissingColumns=True)
     tables.reports.append(rows, version)
-    release(due)
+    release(due, *([] if keyed is None else [keyed]))
     if reached is not None:
         tables.clock.append(tables.clock.spark.createDataFrame([(reached,)], "watermark long").coalesce(1), version)
 

@@ -135,6 +135,23 @@ def test_open_sessions_equal_the_batch_view_at_each_step(spark, tmp_path):
     assert {(0, 2, "open"), (1, 4, "open"), (4, 6, "closed"), (2, 2, "open"), (3, 4, "open"), (5, 2, "open"), (5, 4, "closed")} <= set(changes)
 
 
+def test_intervals_and_session_events_are_computed_once(spark, tmp_path, monkeypatch):
+    put(tmp_path / "topic", "1.json", [message("a", k * 3, k) for k in range(9)] + [message("b", k * 20, k) for k in range(3)])
+    events, plans = events_of(spark, tmp_path), {"joined": [], "scored": []}
+    plan, join_intervals = lambda df: df._jdf.queryExecution().optimizedPlan().toString(), sessions.join_intervals
+    monkeypatch.setattr(sessions, "join_intervals", lambda rows, *given: plans["joined"].append(plan(rows)) or join_intervals(rows, *given))
+    score = lambda keyed, **given: plans["scored"].append(plan(keyed)) or verdicts.score_batch(keyed, **given)
+    tables = verdicts.VerdictTables.under(spark, str(tmp_path / "tables"))
+    for version in range(2):
+        verdicts.advance(tables, version, events.filter(F.col("seq") % 2 == version), score=score, close_all=version == 1)
+    # both are read several times: what is read is a table, not the windows and joins that made it
+    assert len(plans["joined"]) == 2 and not any("Window" in p for p in plans["joined"])
+    assert plans["scored"] and not any("Join" in p for p in plans["scored"])
+    assert plain(verdicts.current_reports(tables))[0][:5] == plain(verdicts.batch_reports(events))[0][:5]
+    assert {(r.detonation_id, r.session_start, r.events) for r in verdicts.closed_sessions(tables).collect()} == {
+        (r.detonation_id, r.session_start, r.events) for r in sessions.sessionize(events).collect()}
+
+
 def test_replayed_versions_add_nothing(spark, tmp_path):
     schema = spark.createDataFrame([], verdicts.EVENT_TABLE_SCHEMA).schema
     raw = lambda lines: spark.createDataFrame([(None, x, "2024-01-01 00:00:00") for x in lines], "seq long, value string, t string").select(
